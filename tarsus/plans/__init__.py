@@ -1,4 +1,6 @@
 """Queries over the test tables and the SQL they are held against."""
 
-QUERIES: dict = {}
+from tarsus.plans import problems
+
+QUERIES: dict = {**problems.QUERIES}
 ORACLE: dict = {}
