@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarsus.llm import minhash
+from tarsus.llm import minhash, overlap, splits
 from tarsus.runtime import table
 
 
@@ -12,4 +12,41 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return minhash.look_alike_groups(table(spark, d, "samples"))
 
 
-QUERIES = {"p1_found": p1_found}
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return splits.torn_records(table(spark, d, "samples"))
+
+
+def p3_assignment(spark: SparkSession, d: str) -> DataFrame:
+    return splits.assign_splits(table(spark, d, "samples"))[0]
+
+
+def p3_assignment_tied(spark: SparkSession, d: str) -> DataFrame:
+    return splits.assign_splits(table(spark, d, "samples"), ("group_id", "taxon_id"))[0]
+
+
+def p3_shares(spark: SparkSession, d: str) -> DataFrame:
+    return splits.share_report(splits.assign_splits(table(spark, d, "samples"))[0])
+
+
+def p3_torn_groups(spark: SparkSession, d: str) -> DataFrame:
+    return splits.torn_components(table(spark, d, "samples"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.cross_split_pairs(table(spark, d, "samples"))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlap_report(table(spark, d, "samples"))
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p3_found": p3_found,
+    "p3_assignment": p3_assignment,
+    "p3_assignment_tied": p3_assignment_tied,
+    "p3_shares": p3_shares,
+    "p3_torn_groups": p3_torn_groups,
+    "p7_found": p7_found,
+    "p7_report": p7_report,
+}
