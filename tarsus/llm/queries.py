@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarsus.llm import minhash, overlap, splits
+from tarsus.llm import encoding, minhash, names, overlap, splits
 from tarsus.runtime import table
 
 
@@ -40,6 +40,27 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(table(spark, d, "samples"))
 
 
+def _resolved(spark: SparkSession, d: str) -> DataFrame:
+    tables = [table(spark, d, n) for n in ("taxon_overrides", "wetland_alignments")]
+    return names.resolve(names.open_cases(table(spark, d, "samples"), *tables), names.reference_names(table(spark, d, "taxa"), *tables))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _resolved(spark, d).select("entry_kind", "entry_id", "taxon_id")
+
+
+def p5_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    return names.unmatched(_resolved(spark, d))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.repaired_documents(table(spark, d, "documents")).select("doc_id")
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.repaired_documents(table(spark, d, "documents"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p3_found": p3_found,
@@ -47,6 +68,10 @@ QUERIES = {
     "p3_assignment_tied": p3_assignment_tied,
     "p3_shares": p3_shares,
     "p3_torn_groups": p3_torn_groups,
+    "p5_found": p5_found,
+    "p5_unmatched": p5_unmatched,
     "p7_found": p7_found,
     "p7_report": p7_report,
+    "p10_found": p10_found,
+    "p10_restored": p10_restored,
 }
