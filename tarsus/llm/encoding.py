@@ -266,7 +266,7 @@ def repair(text: str) -> tuple[str, bool, bool]:
             break
         now, garbled = best, True
     if garbled:
-        now = BLANKED.sub(lambda m: "à" if m.end() < len(now) and not now[m.end()].isspace() and now[m.end()] in ".,;:!?)" else "à ", now)
+        now = BLANKED.sub(lambda m: "à" if now[m.end() : m.end() + 1] in tuple(" \xa0\n.,;:!?)") else "à ", now)
     else:
         now, garbled = repair_confusion(now)
     gone = LOSS in now and lost(now)

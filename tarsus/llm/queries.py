@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tarsus.llm import encoding, minhash, names, overlap, splits
+from tarsus.llm import encoding, knn, leakage, minhash, mixing, names, overlap, splits
 from tarsus.runtime import table
 
 
@@ -53,6 +54,36 @@ def p5_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return names.unmatched(_resolved(spark, d))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return knn.nearest_neighbours(table(spark, d, "cached_features")).select("vector_id", "neighbour_id")
+
+
+def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    vectors = table(spark, d, "cached_features")
+    labels = vectors.groupBy(F.col("vector_id").alias("neighbour_id")).agg(F.min("label").alias("neighbour_label"))
+    return knn.nearest_neighbours(vectors).join(labels, "neighbour_id").select("vector_id", "neighbour_id", "similarity", "neighbour_label")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "benchmark_items"))
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "benchmark_items"))
+
+
+def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.cleaned(table(spark, d, "documents"), table(spark, d, "benchmark_items"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.draw_mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_report(*mixing.draw_mix(table(spark, d, "documents"), table(spark, d, "mix_targets")))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return encoding.repaired_documents(table(spark, d, "documents")).select("doc_id")
 
@@ -70,8 +101,15 @@ QUERIES = {
     "p3_torn_groups": p3_torn_groups,
     "p5_found": p5_found,
     "p5_unmatched": p5_unmatched,
+    "p6_found": p6_found,
+    "p6_neighbours": p6_neighbours,
     "p7_found": p7_found,
     "p7_report": p7_report,
+    "p8_found": p8_found,
+    "p8_items": p8_items,
+    "p8_cleaned": p8_cleaned,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_restored": p10_restored,
 }
