@@ -1,6 +1,6 @@
 """Queries over the test tables and the SQL they are held against."""
 
-from tarsus.plans import problems
+from tarsus.plans import evaluation, problems
 
-QUERIES: dict = {**problems.QUERIES}
-ORACLE: dict = {}
+QUERIES: dict = {**evaluation.R.queries, **problems.QUERIES}
+ORACLE: dict = {**evaluation.R.oracle}
