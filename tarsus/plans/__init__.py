@@ -1,6 +1,6 @@
 """Queries over the test tables and the SQL they are held against."""
 
-from tarsus.plans import evaluation, problems
+from tarsus.plans import audit, evaluation, problems
 
-QUERIES: dict = {**evaluation.R.queries, **problems.QUERIES}
-ORACLE: dict = {**evaluation.R.oracle}
+QUERIES: dict = {**evaluation.R.queries, **audit.R.queries, **problems.QUERIES}
+ORACLE: dict = {**evaluation.R.oracle, **audit.R.oracle}
