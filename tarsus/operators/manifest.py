@@ -95,12 +95,18 @@ def near_pairs(samples: DataFrame, value: str, dataset: str, threshold: int) ->
     return found.select(F.col("v").alias("value_a"), F.col("v_b").alias("value_b"), distance.alias("distance"), F.col("n").alias("count_a"), F.col("n_b").alias("count_b")).distinct()
 
 
-def content_digest(rows: DataFrame, by: list[str], order: list[str], row: Column, out: str = "digest") -> DataFrame:
-    """AG25, SNK2: the SHA-256 of a group's rows in order, over the rows' own digests: each row is hashed where it lies,
-    and only fixed-size digests are gathered."""
-    lines = rows.select(*by, F.struct(*order, F.sha2(row, 256).alias("_h")).alias("_s"))
-    packed = lines.groupBy(*by).agg(F.array_sort(F.collect_list("_s")).alias("_l"))
-    return packed.select(*by, F.sha2(F.array_join(F.transform("_l", lambda s: s["_h"]), "\n"), 256).alias(out), F.size("_l").alias("rows"))
+def content_digest(rows: DataFrame, by: list[str], order: str, row: Column, out: str = "digest") -> DataFrame:
+    """AG25, SNK2: an order-sensitive SHA-256 of a group's rows as a two-level tree.
+
+    Every row is hashed where it lies. The rows of a bucket (4096 by the hash of the order key) are digested in order,
+    then the buckets' digests; a group of any size gathers one 4096th of its row digests in a task.
+    """
+    bucket = F.substring(F.sha2(F.col(order).cast("string"), 256), 1, 3)
+    lines = rows.select(*by, bucket.alias("_b"), F.struct(order, F.sha2(row, 256).alias("_h")).alias("_s"))
+    packed = lines.groupBy(*by, "_b").agg(F.array_sort(F.collect_list("_s")).alias("_l"))
+    digests = packed.select(*by, F.struct("_b", F.sha2(F.array_join(F.transform("_l", lambda s: s["_h"]), "\n"), 256).alias("_h")).alias("_s"), F.size("_l").cast("bigint").alias("_n"))
+    top = digests.groupBy(*by).agg(F.array_sort(F.collect_list("_s")).alias("_l"), F.sum("_n").alias("rows"))
+    return top.select(*by, F.sha2(F.array_join(F.transform("_l", lambda s: s["_h"]), "\n"), 256).alias(out), "rows")
 
 
 def coverage(frames: DataFrame, video: str, frame: str, lengths: DataFrame, stride: int) -> DataFrame:

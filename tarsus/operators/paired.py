@@ -70,24 +70,31 @@ def _draw(seed: int, rep: Column, i: Column, n: Column) -> Column:
     return F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("bigint") % n
 
 
-def bootstrap_gain(rows: DataFrame, delta: Column, order: str, reps: int = 200, seed: int = 2026) -> DataFrame:
+def bootstrap_gain(rows: DataFrame, delta: Column, reps: int = 200, seed: int = 2026, chunk: int = 16_384) -> DataFrame:
     """AG6, AG7: percentile interval of the mean of `delta` (in percent points) over resampled rows.
 
-    Draws come from hashes of (seed, replicate, place), so every engine draws alike. The rows are packed once, and every
-    replicate is one row that sums its draws in place: no replicate-by-row join is shuffled. The packed array holds one
-    value a row; beyond some ten million rows resample classes or strata instead.
+    Rows matter by their values only, so they are laid out in the order of their values and kept as cumulative counts
+    of the distinct ones: three for accuracy deltas, one a class for class means. Draws come from hashes of (seed,
+    replicate, place), so every engine draws alike; each replicate is cut into chunks of draws that are summed apart.
     """
-    packed = rows.agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), delta.cast("double").alias("d")))).alias("_v"))
-    packed = packed.select(F.transform("_v", lambda s: s["d"]).alias("_d"), F.size("_v").alias("_n"))
-    reps_df = rows.sparkSession.range(reps).withColumnRenamed("id", "rep")
-    gains = reps_df.crossJoin(F.broadcast(packed)).select(
-        "rep", (100.0 * F.aggregate(F.sequence(F.lit(0), F.col("_n") - 1), F.lit(0.0), lambda s, i: s + F.get("_d", _draw(seed, F.col("rep"), i, F.col("_n")).cast("int"))) / F.col("_n")).alias("gain")
-    )
+    counts = rows.groupBy(delta.cast("double").alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    table = counts.agg(F.array_sort(F.collect_list(F.struct("d", "n"))).alias("_v"), F.sum("n").alias("_n"))  # one entry a distinct value
+    upper = F.aggregate("_v", F.array().cast("array<struct<d:double,u:bigint>>"), lambda s, v: F.concat(s, F.array(F.struct(v["d"].alias("d"), (F.coalesce(F.element_at(F.when(F.size(s) > 0, s), -1)["u"], F.lit(0)) + v["n"]).alias("u")))))
+    table = table.select(upper.alias("_u"), "_n", F.aggregate("_v", F.lit(0.0), lambda s, v: s + v["d"] * v["n"]).alias("_sum"))
+    chunks = rows.sparkSession.range(reps).withColumnRenamed("id", "rep").crossJoin(F.broadcast(table))
+    chunks = chunks.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / chunk)))).repartition("rep", "_c")
+    places = F.sequence(F.col("_c") * chunk, F.least((F.col("_c") + 1) * chunk, F.col("_n")) - 1)
+    drawn = F.aggregate(places, F.lit(0.0), lambda s, i: s + _value(F.col("_u"), _draw(seed, F.col("rep"), i, F.col("_n"))))
+    gains = chunks.select("rep", "_n", drawn.alias("_s")).groupBy("rep", "_n").agg(F.sum("_s").alias("_s")).select((100.0 * F.col("_s") / F.col("_n")).alias("gain"))
     limits = gains.agg(F.percentile("gain", F.array(F.lit(0.025), F.lit(0.975))).alias("_q"))
-    point = packed.select(F.col("_n").alias("total"), (100.0 * F.aggregate("_d", F.lit(0.0), lambda s, x: s + x) / F.col("_n")).alias("gain_pp"))
+    point = table.select(F.col("_n").alias("total"), (100.0 * F.col("_sum") / F.col("_n")).alias("gain_pp"))
     return point.crossJoin(limits).select("total", "gain_pp", F.get("_q", F.lit(0)).alias("ci_lower_pp"), F.get("_q", F.lit(1)).alias("ci_upper_pp"), F.lit(reps).alias("reps"))
 
 
+def _value(table: Column, place: Column) -> Column:
+    return F.get(F.filter(table, lambda t: place < t["u"]), F.lit(0))["d"]
+
+
 def seed_interval(runs: DataFrame, metric: str) -> DataFrame:
     """AG8: mean, sample deviation and t interval over exactly three seeds; null limits for any other number."""
     n, half = F.count(metric), T_TWO_DF * F.stddev_samp(metric) / F.sqrt(F.lit(3.0))

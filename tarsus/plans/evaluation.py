@@ -167,21 +167,21 @@ def mcnemar_test(spark: SparkSession, d: str) -> DataFrame:
 @R.query(
     "WITH "
     + RERANKED
-    + """, o AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, (after::INT - before::INT)::DOUBLE AS d, count(*) OVER () AS n FROM outcomes),
+    + """, o AS (SELECT row_number() OVER (ORDER BY after::INT - before::INT) - 1 AS i, (after::INT - before::INT)::DOUBLE AS d, count(*) OVER () AS n FROM outcomes),
 draws AS (SELECT r AS rep, ('0x' || substr(sha256('2026|' || r || '|' || i), 1, 8))::BIGINT % n AS i FROM o, range(100) t(r)),
 gains AS (SELECT rep, 100.0 * sum(o.d) / any_value(n) AS gain FROM draws JOIN o USING (i) GROUP BY rep)
 SELECT (SELECT count(*) FROM o) AS total, round((SELECT 100.0 * sum(d) / count(*) FROM o), 9) AS gain_pp, round(quantile_cont(gain, 0.025), 9) AS ci_lower_pp, round(quantile_cont(gain, 0.975), 9) AS ci_upper_pp, 100 AS reps FROM gains"""
 )
 def paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """AG6, MTH6."""
-    b = paired.bootstrap_gain(outcomes(spark, d), F.col("after").cast("int") - F.col("before").cast("int"), "vec_id", 100)
+    b = paired.bootstrap_gain(outcomes(spark, d), F.col("after").cast("int") - F.col("before").cast("int"), 100)
     return b.select(F.col("total").cast("bigint").alias("total"), *[F.round(c, 9).alias(c) for c in ("gain_pp", "ci_lower_pp", "ci_upper_pp")], "reps")
 
 
 @R.query(
     "WITH "
     + RERANKED
-    + """, o AS (SELECT row_number() OVER (ORDER BY label) - 1 AS i, d, count(*) OVER () AS n FROM (SELECT label, avg((after::INT - before::INT)::DOUBLE) AS d FROM outcomes GROUP BY label)),
+    + """, o AS (SELECT row_number() OVER (ORDER BY d) - 1 AS i, d, count(*) OVER () AS n FROM (SELECT label, avg((after::INT - before::INT)::DOUBLE) AS d FROM outcomes GROUP BY label)),
 draws AS (SELECT r AS rep, ('0x' || substr(sha256('2026|' || r || '|' || i), 1, 8))::BIGINT % n AS i FROM o, range(200) t(r)),
 gains AS (SELECT rep, 100.0 * sum(o.d) / any_value(n) AS gain FROM draws JOIN o USING (i) GROUP BY rep)
 SELECT (SELECT count(*) FROM o) AS total, round((SELECT 100.0 * sum(d) / count(*) FROM o), 9) AS gain_pp, round(quantile_cont(gain, 0.025), 9) AS ci_lower_pp, round(quantile_cont(gain, 0.975), 9) AS ci_upper_pp, 200 AS reps FROM gains"""
@@ -189,7 +189,7 @@ SELECT (SELECT count(*) FROM o) AS total, round((SELECT 100.0 * sum(d) / count(*
 def cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """AG7: classes are resampled, not images."""
     by_class = outcomes(spark, d).groupBy("label").agg(F.avg((F.col("after").cast("int") - F.col("before").cast("int")).cast("double")).alias("d"))
-    b = paired.bootstrap_gain(by_class, F.col("d"), "label", 200)
+    b = paired.bootstrap_gain(by_class, F.col("d"), 200)
     return b.select(F.col("total").cast("bigint").alias("total"), *[F.round(c, 9).alias(c) for c in ("gain_pp", "ci_lower_pp", "ci_upper_pp")], "reps")
 
 
