@@ -40,7 +40,7 @@ def spaced_key(c: Column) -> Column:
 
 def aliases(c: Column, semicolons: bool = False) -> Column:
     """STR5: non-blank aliases between | (and ; if asked)."""
-    return F.filter(F.transform(F.split(c, "[|;]" if semicolons else r"\|"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, "[|;]" if semicolons else r"\|"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def slug(c: Column, otherwise: str = "item") -> Column:
