@@ -78,7 +78,7 @@ def agreement(x: Column, y: Column, k: int, b: int) -> Column:
 def corrected(p: Column, b: int) -> Column:
     """Resemblance from the agreement of independent b-bit minima of large universes: chance agrees in 2^-b of the rest."""
     c = 2.0**-b
-    return F.greatest(F.lit(0.0), (p - c) / (1 - c))
+    return F.when(p.isNotNull(), F.greatest(F.lit(0.0), (p - c) / (1 - c)))
 
 
 def _shared(x: Column, parts: list[int], chosen: list[tuple[int, ...]], at: Column) -> Column:

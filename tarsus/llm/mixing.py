@@ -151,5 +151,5 @@ def mix_report(mix: DataFrame, plan: DataFrame) -> DataFrame:
     """Per target source: target and actual share of the mix's tokens, documents drawn, tokens, and the most copies."""
     got = mix.groupBy("source").agg(F.count(F.lit(1)).alias("drawn"), F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("most_copies"))
     joined = plan.join(got, "source", "left").fillna(0, ["drawn", "tokens", "most_copies"])
-    actual = F.col("tokens") / F.sum("tokens").over(W.partitionBy(F.lit(1)))
+    actual = F.try_divide(F.col("tokens"), F.sum("tokens").over(W.partitionBy(F.lit(1))))
     return joined.select("source", "target_share", "max_repeats", "documents", "source_tokens", "target_tokens", "drawn", "tokens", "most_copies", F.coalesce(actual, F.lit(0.0)).alias("actual_share"))
