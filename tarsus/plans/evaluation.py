@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tarsus.functions.vectors import cross_entropy, doubles, stable_share
 from tarsus.operators import compare, paired, ranking
 from tarsus.plans.registry import Registry
-from tarsus.runtime import table
+from tarsus.runtime import materialize, table
 
 R = Registry()
 K = 3
@@ -69,18 +69,18 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
     return ranking.ranking_arrays(rankings(spark, d), ["vec_id", "label"], K, "candidates")
 
 
-def reranked(spark: SparkSession, d: str) -> DataFrame:
+def reranked(spark: SparkSession, d: str, base: DataFrame | None = None) -> DataFrame:
     fit = images(spark, d).where(ranking.fit_half(F.col("vec_id"))).withColumn("bucket", stable_share(F.col("vec_id"), "pair") % 2)
     protos = ranking.mean_vectors(fit.withColumnRenamed("label", "class_id"), ["class_id", "bucket"], "embedding")
     others = protos.select(F.col("class_id").alias("other")).distinct()
     pairs = protos.crossJoin(F.broadcast(others)).where((F.col("class_id") != F.col("other")) & ((F.col("class_id") + F.col("other")) % 2 == F.col("bucket")))  # class by class
-    return ranking.rerank(images(spark, d), candidates(spark, d).select("vec_id", "candidates"), pairs.select("class_id", "other", "prototype"))
+    return ranking.rerank(images(spark, d), (candidates(spark, d) if base is None else base).select("vec_id", "candidates"), pairs.select("class_id", "other", "prototype"))
 
 
 def outcomes(spark: SparkSession, d: str) -> DataFrame:
     """One row an image: both systems' first class, whether right, and whether the target is a candidate."""
-    base = candidates(spark, d)
-    after = reranked(spark, d).where("rank = 1").select("vec_id", F.col("class_id").alias("after_class"))
+    base = materialize(candidates(spark, d))
+    after = reranked(spark, d, base).where("rank = 1").select("vec_id", F.col("class_id").alias("after_class"))
     before = F.get("candidates", F.lit(0))
     j = base.join(after, "vec_id")
     return j.select("vec_id", "label", before.alias("before_class"), "after_class", (before == F.col("label")).alias("before"), (F.col("after_class") == F.col("label")).alias("after"), F.array_contains("candidates", F.col("label")).alias("in_topk"))
