@@ -1,3 +1,25 @@
 """DuckDB SQL for those queries of this subpackage that plain SQL can express over whole tables."""
 
-ORACLE: dict[str, str] = {}
+from __future__ import annotations
+
+from tarsus.plans.audit import CLEAN
+
+_GROUPS = "g AS (SELECT grp, count(DISTINCT split) AS splits FROM clean WHERE grp IS NOT NULL GROUP BY grp HAVING count(DISTINCT split) > 1)"
+_CHUNKS = """h AS (SELECT record_id, split, digest, ('0x' || hash_hex)::UBIGINT AS u FROM clean WHERE split IS NOT NULL),
+k AS (SELECT record_id, split, u, p, (u >> (13 * p)::UBIGINT) & (CASE p WHEN 4 THEN 4095 ELSE 8191 END)::UBIGINT AS c FROM h, range(5) t(p) WHERE u IS NOT NULL),
+near AS (SELECT a.record_id AS x, b.record_id AS y FROM k a JOIN k b ON a.p = b.p AND a.c = b.c WHERE a.split = 'train' AND b.split <> 'train' AND bit_count(xor(a.u, b.u)) <= 4),
+same AS (SELECT a.record_id AS x, b.record_id AS y FROM h a JOIN h b ON a.digest = b.digest WHERE a.split = 'train' AND b.split <> 'train')
+"""
+_GRAMS = """iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark_items),
+ig AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS gram FROM iw, range(1, 2000) t(i) WHERE i + 11 <= len(w)),
+dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+dg AS (SELECT doc_id, array_to_string(w[i:i + 11], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM dw WHERE len(w) >= 12)),
+hits AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (gram))
+"""
+
+ORACLE: dict[str, str] = {
+    "p3_found": f"WITH {CLEAN}, {_GROUPS} SELECT record_id FROM clean WHERE grp IN (SELECT grp FROM g)",
+    "p3_torn_groups": f"WITH {CLEAN}, {_GROUPS} SELECT 'group_id=' || grp AS component, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'validation') AS validation, count(*) FILTER (split = 'test') AS test, count(*) FILTER (split IS NULL) AS none FROM clean WHERE grp IN (SELECT grp FROM g) GROUP BY grp",
+    "p7_found": f"WITH {CLEAN}, {_CHUNKS} SELECT DISTINCT least(x, y) AS record_id_a, greatest(x, y) AS record_id_b FROM (SELECT * FROM near UNION ALL SELECT * FROM same)",
+    "p8_found": f"WITH {_GRAMS} SELECT doc_id, item_id FROM hits",
+}
