@@ -3,4 +3,4 @@
 from tarsus.plans import audit, evaluation, problems, scalars
 
 QUERIES: dict = {**evaluation.R.queries, **audit.R.queries, **scalars.R.queries, **problems.QUERIES}
-ORACLE: dict = {**evaluation.R.oracle, **audit.R.oracle, **scalars.R.oracle}
+ORACLE: dict = {**evaluation.R.oracle, **audit.R.oracle, **scalars.R.oracle, **problems.ORACLE}
