@@ -101,14 +101,19 @@ def script(c: str) -> str:
     return "greek" if 0x370 <= o < 0x400 else "cyrillic" if 0x400 <= o < 0x530 else "latin" if c.isalpha() and o < 0x250 else "other"
 
 
+OTHER_SCRIPTS = re.compile(r"[^\W\d_\x00-\u024f]")
+LETTERS = re.compile(r"[^\W\d_]+")
+
+
 def cost(text: str) -> int:
     """Garbling cost: characters out of place, lost or control characters, and words of mixed scripts."""
     total = 0
     for i, c in enumerate(text):
         if c > "\x7f":
             total += not fits(text, i)
-    for word in re.findall(r"[^\W\d_]*[^\x00-\x7f\W\d_][^\W\d_]*", text):
-        total += len({script(c) for c in word}) > 1
+    if OTHER_SCRIPTS.search(text):
+        for word in LETTERS.findall(text):
+            total += not word.isascii() and len({script(c) for c in word}) > 1
     return total
 
 
@@ -253,11 +258,11 @@ def repair(text: str) -> tuple[str, bool, bool]:
     """(best text, whether any passage was garbled, whether the original was restored in full)."""
     if text.isascii():
         return text, False, True
-    now, garbled = text, False
+    now, garbled, before = text, False, cost(text)
     for _ in range(LAYERS):
         best = None
         if suspects().search(now):
-            best_cost = cost(now)
+            best_cost = cost(now) if garbled else before
             for e in LEGACY:
                 new, n = repair_layer(now, e)
                 if n and ((c := cost(new)) < best_cost or (c == best_cost and best is None)):
@@ -267,7 +272,7 @@ def repair(text: str) -> tuple[str, bool, bool]:
         now, garbled = best, True
     if garbled:
         now = BLANKED.sub(lambda m: "à" if now[m.end() : m.end() + 1] in tuple(" \xa0\n.,;:!?)") else "à ", now)
-    else:
+    elif before:
         now, garbled = repair_confusion(now)
     gone = LOSS in now and lost(now)
     return now, garbled or gone, not gone
