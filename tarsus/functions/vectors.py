@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: a lambda variable binds it, where a repeated expression inside a
+    higher-order function would be computed again for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
@@ -23,8 +31,7 @@ def norm(v: Column) -> Column:
 
 
 def l2_normalize(v: Column, least: float = 1e-12) -> Column:
-    length = F.greatest(norm(v), F.lit(least))
-    return F.transform(doubles(v), lambda x: x / length)
+    return let(doubles(v), lambda u: let(F.greatest(norm(u), F.lit(least)), lambda length: F.transform(u, lambda x: x / length)))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -38,8 +45,7 @@ def combine(base: Column, residual: Column, alpha: Column) -> Column:
 
 def cross_entropy(logits: Column, target: Column) -> Column:
     """logsumexp(logits) - logits[target], target counted from 0."""
-    most = F.array_max(logits)
-    return most + F.ln(total(F.transform(logits, lambda x: F.exp(x - most)))) - F.get(logits, target)
+    return let(logits, lambda u: let(F.array_max(u), lambda most: most + F.ln(total(F.transform(u, lambda x: F.exp(x - most)))) - F.get(u, target)))
 
 
 def all_finite(v: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarsus.functions.vectors import dot, doubles, l2_normalize, stable_share
+from tarsus.functions.vectors import dot, doubles, l2_normalize, let, stable_share
 
 
 def mean_vectors(rows: DataFrame, by: list[str], vector: str, out: str = "prototype") -> DataFrame:
@@ -23,7 +23,7 @@ def pool(vectors: Column) -> Column:
     """AG12 within a row: the normalized mean of a bounded array of vectors."""
     n = F.size(vectors)
     summed = F.aggregate(F.slice(vectors, 2, F.greatest(n - 1, F.lit(0))), F.get(vectors, F.lit(0)), lambda s, v: F.zip_with(s, v, lambda a, b: a + b))
-    return l2_normalize(F.transform(summed, lambda x: x / n))
+    return let(summed, lambda total: l2_normalize(F.transform(total, lambda x: x / n)))
 
 
 def scores(images: DataFrame, prototypes: DataFrame, image: str = "vec_id", vector: str = "embedding", cls: str = "class_id") -> DataFrame:
