@@ -101,24 +101,40 @@ def cross_split_pairs(
 
 
 def overlap_report(records: DataFrame, max_bits: int = 4) -> DataFrame:
-    """Per held-out split and dataset: records, records that occur in train, pairs, and mean coverage of their bits.
+    """Per split and dataset: records, records that occur on the other side, pairs, and mean coverage of their bits.
 
-    A record's coverage is the share of its bits that the best matching train value covers (1 for an equal digest).
+    The sides are train and held-out; a pair of `cross_split_pairs` counts once under the split and dataset of each of
+    its two records. A record's coverage is the share of its bits that the best matching value of the other side
+    covers (1 for an equal digest).
     """
-    rows = _prepared(records, "record_id", "phash", "sha256", "source_split", ("dataset_id",)).dropDuplicates(["_id"])
+    rows = _prepared(records, "record_id", "phash", "sha256", "source_split", ("dataset_id",)).dropDuplicates(["_id"]).drop("_id")
     rows = materialize(rows.withColumn("_train", F.col("_split") == "train"))
-    t, e = rows.where("_train"), rows.where("not _train")
-    values = rows.where("_h is not null").select("_h", "_train").distinct()
-    near = matching_values(values.where("_train").select("_h"), values.where("not _train").select("_h"), max_bits)
-    sizes = t.where("_h is not null").groupBy(F.col("_h").alias("_t")).agg(F.count(F.lit(1)).alias("_n"))
-    by_hash = near.join(sizes, "_t").groupBy(F.col("_e").alias("_h")).agg(F.sum("_n").alias("_pairs_h"), F.min(F.bit_count(F.col("_t").bitwiseXOR(F.col("_e")))).alias("_bits"))
-    by_digest = t.where("_d is not null").groupBy("_d").agg(F.count(F.lit(1)).alias("_pairs_d"))
-    scored = e.join(by_hash, "_h", "left").join(by_digest, "_d", "left")
+    bits, place = F.bit_count(F.col("_t").bitwiseXOR(F.col("_e"))), ("_split", "_k_dataset_id")
+
+    # digests: counts of both sides; a digest that only one side holds is dropped from the rows
+    digests = rows.where("_d is not null").groupBy("_d").agg(F.count_if("_train").alias("_nt"), F.count_if(~F.col("_train")).alias("_ne")).where("_nt > 0 and _ne > 0")
+    other = F.coalesce(F.when(F.col("_train"), F.col("_ne")).otherwise(F.col("_nt")), F.lit(0))
+    rows = materialize(rows.join(digests, "_d", "left").select(*place, "_train", "_h", F.when(F.col("_nt") > 0, F.col("_d")).alias("_d"), other.alias("_pairs_d")))
+
+    # hashes: counts of the other side's values near each value
+    sizes = materialize(rows.where("_h is not null").groupBy("_h", "_train").agg(F.count(F.lit(1)).alias("_n")))
+    near = materialize(matching_values(sizes.where("_train").select("_h"), sizes.where("not _train").select("_h"), max_bits)).withColumn("_bits", bits)
+    sides = near.select(F.col("_e").alias("_h"), F.lit(False).alias("_train"), F.col("_t").alias("_o"), "_bits").unionByName(near.select(F.col("_t").alias("_h"), F.lit(True).alias("_train"), F.col("_e").alias("_o"), "_bits"))
+    by_hash = sides.join(sizes.select(F.col("_h").alias("_o"), (~F.col("_train")).alias("_train"), "_n"), ["_o", "_train"]).groupBy("_h", "_train").agg(F.sum("_n").alias("_pairs_h"), F.min("_bits").alias("_bits"))
+    scored = rows.join(by_hash, ["_h", "_train"], "left").withColumn("_pairs", F.col("_pairs_d") + F.coalesce("_pairs_h", F.lit(0)))
+
+    # pairs by both, which the two sums hold twice, as rows of their own
+    shared = rows.where("_h is not null and _d is not null").groupBy("_train", *place, "_h", "_d").agg(F.count(F.lit(1)).alias("_n"))
+    t = shared.where("_train").select("_d", F.col("_h").alias("_t"), F.col("_n").alias("_nt"), F.struct(*place).alias("_at"))
+    e = shared.where("not _train").select("_d", F.col("_h").alias("_e"), F.col("_n").alias("_ne"), F.struct(*place).alias("_ae"))
+    both = t.join(e, "_d").where(bits <= max_bits).select(F.explode(F.array("_at", "_ae")).alias("_p"), (-F.col("_nt") * F.col("_ne")).alias("_pairs")).select("_p.*", "_pairs")
+
     cover = F.when(F.col("_pairs_d") > 0, 1.0).when(F.col("_pairs_h") > 0, 1 - F.col("_bits") / 64.0)
-    return scored.groupBy(F.col("_split").alias("source_split"), F.col("_k_dataset_id").alias("dataset_id")).agg(
-        F.count(F.lit(1)).alias("records"),
+    return scored.unionByName(both, allowMissingColumns=True).groupBy(F.col("_split").alias("source_split"), F.col("_k_dataset_id").alias("dataset_id")).agg(
+        F.count("_train").alias("records"),
         F.count(cover).alias("overlapping"),
         F.count_if(F.col("_pairs_d") > 0).alias("same_digest"),
         F.count_if(F.col("_pairs_h") > 0).alias("near_hash"),
+        F.sum("_pairs").alias("pairs"),
         F.round(F.avg(cover), 6).alias("mean_coverage"),
     )

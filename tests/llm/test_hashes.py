@@ -1,7 +1,7 @@
 """p1, p3, p7: groups of look-alikes, splits of related records, overlaps across splits."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -117,6 +117,17 @@ def test_pairs_against_brute_force(samples):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_report_counts_the_pairs(samples):
+    vs = values(40)
+    split, sets = ["train", "train", "train", "test", "validation", None], ["d1", "d2", None]
+    data = [record(i, f"{RNG.choice(vs):016x}", source_split=RNG.choice(split), sha256=RNG.choice([None, "ab" * 32, "cd" * 32, f"{i:064x}"]), dataset_id=RNG.choice(sets)) for i in range(300)]
+    data += [record(1000 + i, f"{vs[0]:016x}", source_split="train", sha256="ef" * 32) for i in range(200)] + [record(2000, f"{vs[0]:016x}", source_split="test", sha256="ef" * 32)]
+    at = {r["record_id"]: (r["source_split"], r["dataset_id"]) for r in data}
+    want = Counter(at[i] for p in overlap.cross_split_pairs(samples(data + data[:20])).collect() for i in p)
+    got = {(r.source_split, r.dataset_id): r.pairs for r in overlap.overlap_report(samples(data + data[:20])).collect()}
+    assert got == {k: want[k] for k in set(at.values()) if k[0]} and got["test", "d"] >= 200
+
+
 def grouped(i, g, split=None, taxon=None):
     return {"record_id": i, "group_id": g, "source_split": split, "taxon_id": taxon}
 
