@@ -12,27 +12,28 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarsus.runtime import ship
 from tarsus.sources.payloads import kind_of, read_object
 
-LABELS = "result_id bigint, pre int, post int, level int, type string, node_path string, name string, kind string, element boolean, value string"
+LABELS = "result_id bigint, pre int, post int, level int, type string, node_path string, name string, kind string, element boolean, value string, owner int"
 
 
 def label_tree(root: dict | list, wanted: str = "all") -> list[tuple]:
-    """(pre, post, level, type, path, name, kind, element, value) of each node in pre-order, without recursion.
+    """(pre, post, level, type, path, name, kind, element, value, owner) of each node in pre-order, without recursion.
 
-    `level` counts the enclosing objects that are array elements. wanted="elements" returns only those objects.
+    `level` counts the enclosing objects that are array elements. `owner` is the pre-order number of the nearest
+    enclosing object, or of the payload where that is an array; the payload itself has none. wanted="elements" returns only those objects.
     """
     out: list[list] = []
     clock = 0
-    stack: list[tuple] = [(root, "", "", "", 0, False)]
+    stack: list[tuple] = [(root, "", "", "", 0, False, None)]
     closing = object()
     while stack:
-        value, path, kind_path, name, level, element = stack.pop()
+        value, path, kind_path, name, level, element, owner = stack.pop()
         if value is closing:
             if path is not None:
                 path[1] = clock - 1
@@ -42,17 +43,18 @@ def label_tree(root: dict | list, wanted: str = "all") -> list[tuple]:
         row = None
         if held or wanted == "all":
             leaf = None if kind in ("object", "array", "null") else value if isinstance(value, str) else json.dumps(value)
-            row = [clock, clock, level, kind_path, path, name, kind, element, leaf]
+            row = [clock, clock, level, kind_path, path, name, kind, element, leaf, owner]
             out.append(row)
+        below_of = clock if kind == "object" or owner is None else owner
         clock += 1
         if kind == "object" or kind == "array":
-            stack.append((closing, row, None, None, 0, False))
+            stack.append((closing, row, None, None, 0, False, None))
             below = level + held
             if kind == "object":
                 dot, kind_dot = (path + "." if path else ""), (kind_path + "." if kind_path else "")
-                children = [(v, dot + k, kind_dot + k, k, below, False) for k, v in value.items()]
+                children = [(v, dot + k, kind_dot + k, k, below, False, below_of) for k, v in value.items()]
             else:
-                children = [(v, f"{path}[{i}]", kind_path + "[]", name, below, True) for i, v in enumerate(value)]
+                children = [(v, f"{path}[{i}]", kind_path + "[]", name, below, True, below_of) for i, v in enumerate(value)]
             stack.extend(reversed(children))
     return [tuple(r) for r in out]
 
@@ -116,3 +118,36 @@ def child_fields(nodes: DataFrame, parents: DataFrame, fields: tuple[str, ...])
     joined = parents.join(leaves, ["result_id", "node_path"], "left")
     own = (F.col("_pre") > F.col("pre")) & (F.col("_pre") <= F.col("post"))
     return joined.groupBy(*parents.columns).agg(*[F.max(F.when((F.col("_f") == f) & own, F.col("_v"))).alias(f) for f in fields])
+
+
+def node_rows(nodes: DataFrame) -> DataFrame:
+    """One row per payload, object and array element of any kind, linked to its owner: (result_id, node_path, type, kind,
+    value, pre, post, parent_path, parent_type, parent_pre). value is that of an element that is a scalar."""
+    rows = nodes.where("pre = 0 or kind = 'object' or element").select("result_id", "node_path", "type", "kind", "value", "pre", "post", F.col("owner").alias("parent_pre"))
+    parents = nodes.where("pre = 0 or kind = 'object'").select("result_id", F.col("pre").alias("parent_pre"), F.col("node_path").alias("parent_path"), F.col("type").alias("parent_type"))
+    return rows.join(parents, ["result_id", "parent_pre"], "left").select("result_id", "node_path", "type", "kind", "value", "pre", "post", "parent_path", "parent_type", "parent_pre")
+
+
+def node_fields(nodes: DataFrame) -> DataFrame:
+    """One row per scalar or null field of any object: (result_id, node_path, type, pre, field, kind, value), the first
+    four those of the object."""
+    owners = nodes.where("kind = 'object'").select("result_id", F.col("pre").alias("owner"), F.col("node_path").alias("_path"), F.col("type").alias("_type"))
+    leaves = nodes.where("pre > 0 and not element and kind not in ('object', 'array')").select("result_id", "owner", F.col("name").alias("field"), "kind", "value")
+    return owners.join(leaves, ["result_id", "owner"]).select("result_id", F.col("_path").alias("node_path"), F.col("_type").alias("type"), F.col("owner").alias("pre"), "field", "kind", "value")
+
+
+def node_table(nodes: DataFrame, chosen: Column) -> DataFrame:
+    """The rows of `node_rows` that are chosen, with a column for each scalar field that any of them holds.
+
+    The fields come from the nodes. A field whose name is taken, in whatever case, gets a number behind it.
+    """
+    rows, fields = node_rows(nodes).where(chosen), node_fields(nodes)
+    held = fields.join(rows.select("result_id", "pre"), ["result_id", "pre"], "left_semi").select("result_id", "pre", "field", "value")
+    taken, columns = {c.lower() for c in rows.columns}, []
+    for (field,) in held.select("field").distinct().orderBy("field").collect():  # names, not rows
+        name = next(n for n in (field, *(f"{field}_{i}" for i in range(2, 10_000))) if n.lower() not in taken)
+        taken.add(name.lower())
+        columns.append(F.max(F.when(F.col("field") == field, F.col("value"))).alias(name))
+    if not columns:
+        return rows
+    return rows.join(held.groupBy("result_id", "pre").agg(*columns), ["result_id", "pre"], "left")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarsus.operators import drift, nested
+from tarsus.plans.registry import Query
 from tarsus.runtime import materialize, table
 
 
@@ -14,15 +15,52 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return nested.link_elements(nodes).select("result_id", "node_path", "parent_path")
 
 
+def _nodes(spark: SparkSession, d: str) -> DataFrame:
+    return materialize(nested.label_nodes(table(spark, d, "run_results")))
+
+
+def p2_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Every payload, object and array element, of whatever type, with its parent."""
+    return nested.node_rows(_nodes(spark, d))
+
+
+def p2_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Every scalar field of every object, of whatever type."""
+    return nested.node_fields(_nodes(spark, d))
+
+
+def _typed(kind_path: str) -> Query:
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        return nested.node_table(_nodes(spark, d), F.col("type") == kind_path)
+
+    return query
+
+
+#: One table a type of node; types that are not named here are in p2_nodes and p2_fields as well.
+TYPES = {
+    "p2_baselines": "evaluation.baseline",
+    "p2_sources": "evaluation.sources[]",
+    "p2_tasks": "evaluation.sources[].tasks[]",
+    "p2_seeds": "evaluation.sources[].tasks[].seeds[]",
+    "p2_protocols": "protocol",
+    "p2_alpha_grids": "protocol.search_config.alpha_grid[]",
+    "p2_trials": "protocol.search_config.trials[]",
+    "p2_history": "protocol.search_config.trials[].history[]",
+    "p2_hardware": "hardware",
+    "p2_devices": "hardware.devices[]",
+    "p2_jobs": "hardware.devices[].jobs[]",
+}
+
+
 def p2_results(spark: SparkSession, d: str) -> DataFrame:
-    nodes = nested.label_nodes(table(spark, d, "run_results"))
-    root = nodes.where("type = ''").select("result_id", "node_path", "pre", "post")
-    return nested.child_fields(nodes.where("level = 0"), root, ("run_id", "experiment_id", "status", "schema_version", "created_at_utc"))
+    return nested.node_table(_nodes(spark, d), F.col("type") == "").drop("type", "kind", "value", "parent_path", "parent_type", "parent_pre")
 
 
 def p2_checks(spark: SparkSession, d: str) -> DataFrame:
-    nodes = materialize(nested.label_nodes(table(spark, d, "run_results")).where(F.col("type").startswith("checks.")))
-    return nested.child_fields(nodes, nested.scalar_table(nodes, "checks").withColumn("node_path", F.concat(F.lit("checks."), "field")), ("passed", "expected"))
+    nodes = materialize(nested.label_nodes(table(spark, d, "run_results")).where(F.col("type").startswith("checks")))
+    checks = nested.scalar_table(nodes, "checks")
+    inner = nested.node_table(nodes, (F.col("parent_type") == "checks") & (F.col("kind") == "object")).drop("type", "kind", "value", "post", "parent_path", "parent_type", "parent_pre")
+    return checks.join(inner, ["result_id", "pre"], "left").withColumn("node_path", F.concat(F.lit("checks."), "field"))
 
 
 def p2_environments(spark: SparkSession, d: str) -> DataFrame:
@@ -36,10 +74,10 @@ def p2_environment_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_artifacts(spark: SparkSession, d: str) -> DataFrame:
     """Predictions (one object or several), their shards and all other artifacts, each with its fields."""
-    nodes = materialize(nested.label_nodes(table(spark, d, "run_results")).where(F.col("type").startswith("artifacts.")))
-    objects = nodes.where("kind = 'object'").select("result_id", "node_path", "type", "pre", "post")
+    nodes = materialize(nested.label_nodes(table(spark, d, "run_results")).where(F.col("type").startswith("artifacts")))
+    objects = nested.node_table(nodes, F.col("type").startswith("artifacts.") & (F.col("kind") == "object")).drop("kind", "value", "parent_path", "parent_type", "parent_pre")
     parents = nested.link_elements(nodes).select("result_id", "node_path", "parent_path", "parent_pre")
-    return nested.child_fields(nodes, objects, ("path", "rows", "sha256", "shard")).join(parents, ["result_id", "node_path"], "left")
+    return objects.join(parents, ["result_id", "node_path"], "left")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -50,7 +88,8 @@ def p4_table(spark: SparkSession, d: str) -> DataFrame:
     return drift.consistent_table(table(spark, d, "run_results"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_results, p2_checks, p2_environments, p2_environment_counts, p2_artifacts, p4_found, p4_table)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_results, p2_checks, p2_environments, p2_environment_counts, p2_artifacts, p2_nodes, p2_fields, p4_found, p4_table)}
+QUERIES |= {name: _typed(kind_path) for name, kind_path in TYPES.items()}
 
 READ = """
 raw AS (SELECT DISTINCT result_id, stream_id, file_no::BIGINT AS file_no, trim(payload, chr(65279) || ' ' || chr(9) || chr(10) || chr(13)) AS p FROM run_results),

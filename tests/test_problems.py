@@ -58,6 +58,19 @@ def test_flat_tables(spark):
     assert {r.field: r.value for r in nested.scalar_table(nodes, "environment").collect()} == {"x": None, "y": "1.5"}
 
 
+def test_node_tables_hold_every_field(spark, rows):
+    p = {"e": {"base": {"top1": 0.5}, "s": [{"id": "a", "t": [{"role": "x", "pre": 7, "new.est": None, "Role": 2}]}, {"id": "b", "t": []}, 4]}, "run": "r"}
+    nodes = nested.label_nodes(spark.createDataFrame([(1, 1, 1, json.dumps(p)), (2, 1, 1, json.dumps([{"k": True}]))], RESULTS))
+    got = rows(nested.node_rows(nodes).select("result_id", "node_path", "parent_path", "value").fillna("-"))
+    assert got == sorted([(1, "", "-", "-"), (1, "e", "", "-"), (1, "e.base", "e", "-"), (1, "e.s[0]", "e", "-"), (1, "e.s[0].t[0]", "e.s[0]", "-"), (1, "e.s[1]", "e", "-"), (1, "e.s[2]", "e", "4"), (2, "", "-", "-"), (2, "[0]", "", "-")])
+    fields = rows(nested.node_fields(nodes).select("result_id", "node_path", "field", F.coalesce("value", F.lit("-"))))
+    t = "e.s[0].t[0]"
+    assert fields == sorted([(1, "", "run", "r"), (1, "e.base", "top1", "0.5"), (1, "e.s[0]", "id", "a"), (1, "e.s[1]", "id", "b"), (1, t, "role", "x"), (1, t, "pre", "7"), (1, t, "new.est", "-"), (1, t, "Role", "2"), (2, "[0]", "k", "true")])
+    task = nested.node_table(nodes, F.col("type") == "e.s[].t[]").first().asDict()
+    assert (task["parent_path"], task["Role"], task["role_2"], task["pre_2"], task["new.est"]) == ("e.s[0]", "2", "x", "7", None)
+    assert nested.node_table(nodes, F.col("type") == "none").count() == 0
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], RESULTS)
     assert nested.link_elements(nested.label_nodes(none)).count() == 0
