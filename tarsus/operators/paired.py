@@ -70,7 +70,7 @@ def _draw(seed: int, rep: Column, i: Column, n: Column) -> Column:
     return F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("bigint") % n
 
 
-def bootstrap_gain(rows: DataFrame, delta: Column, reps: int = 200, seed: int = 2026, chunk: int = 16_384) -> DataFrame:
+def bootstrap_gain(rows: DataFrame, delta: Column, reps: int = 10_000, seed: int = 2026, chunk: int = 16_384) -> DataFrame:
     """AG6, AG7: percentile interval of the mean of `delta` (in percent points) over resampled rows.
 
     Rows matter by their values only, so they are laid out in the order of their values and kept as cumulative counts

@@ -193,6 +193,26 @@ def cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return b.select(F.col("total").cast("bigint").alias("total"), *[F.round(c, 9).alias(c) for c in ("gain_pp", "ci_lower_pp", "ci_upper_pp")], "reps")
 
 
+def _full(sql: str, reps: int) -> str:
+    """The SQL of a bootstrap of fewer replicates at the reference's 10,000."""
+    return sql.replace(f"range({reps}) t(r)", "range(10000) t(r)").replace(f"{reps} AS reps", "10000 AS reps")
+
+
+@R.query(_full(R.oracle["paired_bootstrap"], 100))
+def paired_bootstrap_full(spark: SparkSession, d: str) -> DataFrame:
+    """AG6, MTH6 at the reference's 10,000 replicates."""
+    b = paired.bootstrap_gain(outcomes(spark, d), F.col("after").cast("int") - F.col("before").cast("int"))
+    return b.select(F.col("total").cast("bigint").alias("total"), *[F.round(c, 9).alias(c) for c in ("gain_pp", "ci_lower_pp", "ci_upper_pp")], "reps")
+
+
+@R.query(_full(R.oracle["cluster_bootstrap"], 200))
+def cluster_bootstrap_full(spark: SparkSession, d: str) -> DataFrame:
+    """AG7 at the reference's 10,000 replicates."""
+    by_class = outcomes(spark, d).groupBy("label").agg(F.avg((F.col("after").cast("int") - F.col("before").cast("int")).cast("double")).alias("d"))
+    b = paired.bootstrap_gain(by_class, F.col("d"))
+    return b.select(F.col("total").cast("bigint").alias("total"), *[F.round(c, 9).alias(c) for c in ("gain_pp", "ci_lower_pp", "ci_upper_pp")], "reps")
+
+
 @R.query(
     "WITH "
     + RERANKED

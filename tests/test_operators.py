@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
@@ -54,6 +56,14 @@ def test_transitions_and_mcnemar(spark):
     assert first == again and first.gain_pp == pytest.approx(20.0) and first.ci_lower_pp <= 20.0 <= first.ci_upper_pp
 
 
+def test_bootstrap_takes_ten_thousand_replicates(spark):
+    d = [-1.0, 0.0, 0.0, 1.0, 1.0]
+    gains = [sum(d[int(hashlib.sha256(f"2026|{r}|{i}".encode()).hexdigest()[:8], 16) % 5] for i in range(5)) / 5 * 100 for r in range(10_000)]
+    b = paired.bootstrap_gain(spark.createDataFrame([(x,) for x in d], "d double"), F.col("d")).first()
+    assert b.reps == 10_000 and b.total == 5
+    assert (b.ci_lower_pp, b.ci_upper_pp) == pytest.approx(tuple(np.percentile(gains, (2.5, 97.5))))
+
+
 def test_bootstrap_chunks_draw_alike(spark):
     df = spark.createDataFrame([(i, float(i % 3 - 1)) for i in range(100)], "i int, d double")
     assert paired.bootstrap_gain(df, F.col("d"), 20, chunk=7).first() == paired.bootstrap_gain(df, F.col("d"), 20).first()
