@@ -25,6 +25,13 @@ def p3_assignment_tied(spark: SparkSession, d: str) -> DataFrame:
     return splits.assign_splits(table(spark, d, "samples"), ("group_id", "taxon_id"))[0]
 
 
+def p3_assignment_increment(spark: SparkSession, d: str) -> DataFrame:
+    """A run over half of the records, then one over all that takes up its component table and ties taxa as well."""
+    samples = table(spark, d, "samples")
+    first = splits.assign_splits(samples.where("record_id % 2 = 0"))[1]
+    return splits.assign_splits(samples, ("group_id", "taxon_id"), previous=first)[0]
+
+
 def p3_shares(spark: SparkSession, d: str) -> DataFrame:
     return splits.share_report(splits.assign_splits(table(spark, d, "samples"))[0])
 
@@ -97,6 +104,7 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_assignment": p3_assignment,
     "p3_assignment_tied": p3_assignment_tied,
+    "p3_assignment_increment": p3_assignment_increment,
     "p3_shares": p3_shares,
     "p3_torn_groups": p3_torn_groups,
     "p5_found": p5_found,

@@ -1,9 +1,9 @@
 """Splits that keep related records together, from a persisted table of components.
 
-The component table has one row per key (a group, a taxon): `key`, `component` (the smallest key it is tied to) and
-`split`. It is written by one run and taken up by the next: old components keep their split, components that new
+The component table has one row per key (a group, a taxon): `key`, `component` (the smallest key it is tied to),
+`split` and `status`. It is written by one run and taken up by the next: old components keep their split, components that new
 records tie together are merged by pointer jumping, merged components whose splits disagree are quarantined (split
-null, status quarantined), and new components fill the deficits against the target shares.
+null, status quarantined) and stay so in later runs, and new components fill the deficits against the target shares.
 """
 
 from __future__ import annotations
@@ -132,9 +132,10 @@ def assign_splits(
 ) -> tuple[DataFrame, DataFrame]:
     """The new split of every record, and the component table to persist for the next run.
 
-    Returns (record_id, component, split, status) and (key, component, split). Status is new, kept or quarantined.
+    Returns (record_id, component, split, status) and (key, component, split, status). Status is new, kept or quarantined.
     With a `previous` table, every component that holds one of its components keeps that split; where several splits
-    meet, the merged component is quarantined and its records get no split. Records without any key are components
+    meet, or one of them is quarantined already, the component is quarantined and its records get no split. Components
+    without records in this run are carried over. Records without any key are components
     of their own. An empty table gives empty results.
     """
     rows = keyed_records(records, by).select("_id", "_keys").dropDuplicates(["_id"]).withColumn("_split", F.lit(None).cast("string"))
@@ -145,15 +146,16 @@ def assign_splits(
     if previous is None:
         split = materialize(assign_components(sizes, shares)).withColumn("status", F.lit("new"))
     else:
-        old = previous.where("split is not null").select("key", "split").join(table, "key").groupBy("component")
-        old = materialize(old.agg(F.min("split").alias("_lo"), F.max("split").alias("_hi")))
-        kept = old.select("component", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).alias("split"), F.when(F.col("_lo") == F.col("_hi"), "kept").otherwise("quarantined").alias("status"))
+        old = previous.select("key", "split").join(table, "key").groupBy("component")
+        old = materialize(old.agg(F.min("split").alias("_lo"), F.max("split").alias("_hi"), F.bool_or(F.col("split").isNull()).alias("_held")))
+        agreed = (F.col("_lo") == F.col("_hi")) & ~F.col("_held")
+        kept = old.select("component", F.when(agreed, F.col("_lo")).alias("split"), F.when(agreed, "kept").otherwise("quarantined").alias("status"))
         held = dict(map(tuple, sizes.join(kept, "component").where("split is not null").groupBy("split").agg(F.sum("n")).collect()))
         fresh = assign_components(sizes.join(old, "component", "left_anti"), shares, held)
         split = materialize(kept.unionByName(fresh.withColumn("status", F.lit("new"))))
     out = placed.join(split.withColumnRenamed("component", "_component"), "_component")
     out = out.select(F.col("_id").alias("record_id"), F.col("_component").alias("component"), "split", "status")
-    return out, table.join(split.select("component", "split"), "component").select("key", "component", "split")
+    return out, table.join(split.select("component", "split", "status"), "component").select("key", "component", "split", "status")
 
 
 def share_report(assigned: DataFrame, shares: tuple[tuple[str, float], ...] = SHARES) -> DataFrame:

@@ -171,3 +171,16 @@ def test_increments_keep_fill_and_quarantine(samples):
     assert all(r.status == "kept" and r.split == old[f"group_id=cam:{i}"] for i, r in by.items() if i < 60 and f"group_id=cam:{i}" not in (a, b))
     assert {r.split for r in new.where(F.col("key").isin(a, b)).collect()} == {None}
     assert splits.share_report(got).where("split is null").first().records == 4
+
+
+def test_quarantine_outlasts_runs(samples):
+    _, table = splits.assign_splits(samples([grouped(i, f"cam:{i}") for i in range(60)]))
+    at = {r.split: r.key for r in table.collect()}
+    ga, gb = (at[s].split("=")[1] for s in ("train", "test"))
+    by = ("group_id", "taxon_id")
+    _, table = splits.assign_splits(samples([grouped(100, ga, None, "t1"), grouped(101, gb, None, "t1")]), by, previous=table)
+    out, table = splits.assign_splits(samples([grouped(100, ga), grouped(200, "cam:777")]), by, previous=table)
+    assert {r.record_id: r.status for r in out.collect()} == {100: "quarantined", 200: "new"}
+    _, table = splits.assign_splits(samples([grouped(300, "cam:888")]), by, previous=table)  # none of its records
+    of = {r.key: (r.split, r.status) for r in table.collect()}
+    assert of[at["train"]] == of[at["test"]] == (None, "quarantined") and len(of) == 63
