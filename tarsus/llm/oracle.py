@@ -26,6 +26,10 @@ comp AS (SELECT b AS u, min(a) AS c FROM reach GROUP BY b),
 placed AS (SELECT h.*, coalesce(c, h.u) AS c FROM h LEFT JOIN comp USING (u)),
 g AS (SELECT c, min(record_id) AS group_record_id FROM placed GROUP BY c HAVING count(DISTINCT (dataset_id, source_sample_id)) > 1)
 SELECT group_record_id, record_id FROM placed JOIN g USING (c)""",
+    "p1_links": f"""WITH {CLEAN}, h AS (SELECT DISTINCT ('0x' || hash_hex)::UBIGINT AS u FROM clean WHERE hash_hex IS NOT NULL),
+k AS (SELECT u, p, (u >> (13 * p)::UBIGINT) & (CASE p WHEN 4 THEN 4095 ELSE 8191 END)::UBIGINT AS c FROM h, range(5) t(p)),
+e AS (SELECT DISTINCT a.u AS x, b.u AS y FROM k a JOIN k b ON a.p = b.p AND a.c = b.c AND a.u < b.u WHERE bit_count(xor(a.u, b.u)) <= 4)
+SELECT count(*) AS links, count(*) AS found, 0::BIGINT AS lost, 0::BIGINT AS invented FROM e""",
     "p6_found": """WITH v AS (SELECT vector_id, features::DOUBLE[] AS f FROM cached_features WHERE len(features) = 64 AND len([x FOR x IN features IF x IS NULL OR isnan(x) OR isinf(x)]) = 0 AND len([x FOR x IN features IF x <> 0]) > 0),
 n AS (SELECT vector_id, f, sqrt(list_dot_product(f, f)) AS l FROM v),
 r AS (SELECT a.vector_id, b.vector_id AS neighbour_id, row_number() OVER (PARTITION BY a.vector_id ORDER BY list_dot_product(a.f, b.f) / (a.l * b.l) DESC, b.vector_id) AS rank FROM n a JOIN n b ON a.vector_id <> b.vector_id)

@@ -13,6 +13,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return minhash.look_alike_groups(table(spark, d, "samples"))
 
 
+def p1_links(spark: SparkSession, d: str) -> DataFrame:
+    """Links between different hashes, and how many the bands found and lost."""
+    return minhash.link_audit(table(spark, d, "samples"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return splits.torn_records(table(spark, d, "samples"))
 
@@ -101,6 +106,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p1_links": p1_links,
     "p3_found": p3_found,
     "p3_assignment": p3_assignment,
     "p3_assignment_tied": p3_assignment_tied,

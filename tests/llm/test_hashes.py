@@ -3,6 +3,7 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,12 +33,40 @@ def linked(vs, t=4):
     return {tuple(sorted((signed(a), signed(b)))) for i, a in enumerate(vs) for b in vs[:i] if (a ^ b).bit_count() <= t}
 
 
-@pytest.mark.parametrize("hot", [1024, 8])
+@pytest.mark.parametrize("hot", [minhash.HOT, 16])
 def test_linked_values_lose_nothing(spark, hot):
     vs = values()
     df = spark.createDataFrame([(signed(v),) for v in vs] + [(None,)], "v bigint")
-    got = [(r.a, r.b) for r in minhash.linked_values(df, "v", hot=hot).collect()]
-    assert len(got) == len(set(got)) and set(got) == linked(vs)
+    links = minhash.linked_values(df, "v", hot=hot).collect()
+    got = [(r.a, r.b) for r in links]
+    assert len(got) == len(set(got)) and set(got) == linked(vs) and all(r.resemblance > 0.5 for r in links)
+    every = minhash.lossless_links(df, "v").collect()
+    assert sorted((r.a, r.b) for r in every) == sorted(linked(vs))
+
+
+def test_agreement_of_minima_follows_the_formula():
+    rng = np.random.default_rng(3)
+    a = rng.integers(-(2**63), 2**63, 4000)
+    for bits in (0, 4, 32):
+        flip = np.array([sum(1 << int(i) for i in rng.choice(64, bits, replace=False)) for _ in a], np.uint64).view(np.int64)
+        same = (minhash.minima(a, 60) == minhash.minima(a ^ flip, 60)).mean()
+        assert abs(same - minhash.agree_at(bits)) < 0.01
+    plain = [[min(r[2 * i + (int(v) >> i & 1)] for i in range(64)) & 7 for v in a[:50]] for r in _ranks(5)]
+    assert minhash.minima(a[:50], 5).tolist() == plain
+
+
+def _ranks(k):
+    return np.argsort(np.random.default_rng(7).random((k, 128)), axis=1).astype(int).tolist()
+
+
+def test_bands_miss_a_pair_at_the_threshold_as_seldom_as_asked():
+    for n in (100, 10**5, 10**8):
+        width, bands = minhash.band_plan(n, 4)
+        assert (1 - minhash.agree_at(4) ** width) ** bands <= minhash.MISS and n * minhash.agree_at(32) ** width <= 4 * minhash.UNLIKE
+    rng = np.random.default_rng(5)
+    a = rng.integers(-(2**63), 2**63, 20_000)
+    flip = np.array([sum(1 << int(i) for i in rng.choice(64, 4, replace=False)) for _ in a], np.uint64).view(np.int64)
+    assert (minhash.band_keys(a, 9, 30) == minhash.band_keys(a ^ flip, 9, 30)).any(0).mean() > 0.9998
 
 
 @pytest.mark.parametrize("hot", [4096, 3])
