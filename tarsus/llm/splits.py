@@ -1,7 +1,7 @@
 """Splits that keep related records together, from a persisted table of components.
 
-The component table has one row per key (a group, a taxon): `key`, `component` (the smallest key it is tied to),
-`split` and `status`. It is written by one run and taken up by the next: old components keep their split, components that new
+The component table has one row per key (a group, a taxon, or a record without any): `key`, `component` (the smallest
+key it is tied to), `split` and `status`. It is written by one run and taken up by the next: old components keep their split, components that new
 records tie together are merged by pointer jumping, merged components whose splits disagree are quarantined (split
 null, status quarantined) and stay so in later runs, and new components fill the deficits against the target shares.
 """
@@ -32,57 +32,53 @@ def keyed_records(records: DataFrame, by: tuple[str, ...] = ("group_id",), id_co
     return records.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), split_name(F.col(split_col)).alias("_split"), F.array(*keys).alias("_keys"))
 
 
-def component_table(rows: DataFrame, keys: int, previous: DataFrame | None = None) -> DataFrame:
+def component_table(rows: DataFrame, previous: DataFrame | None = None) -> DataFrame:
     """(key, component) for every key of the rows, and of the previous table.
 
-    Where records have one key each and no previous table takes part, every key is its own component and nothing is
-    left to merge. Records with several keys tie them; `previous` adds edges from its keys to their components.
+    A record ties its keys to each other, `previous` ties its keys to their components; what is connected is merged by
+    pointer jumping. Keys that nothing ties to another are components of their own.
     """
     found = rows.select(F.array_compact("_keys").alias("_k")).where(F.size("_k") > 0)
     pairs = found.select(F.col("_k")[0].alias("a"), F.explode("_k").alias("b")).distinct()
-    if keys == 1 and previous is None:
-        return pairs.select(F.col("b").alias("key"), F.col("b").alias("component"))
     if previous is not None:
         pairs = pairs.unionByName(previous.select(F.col("component").alias("a"), F.col("key").alias("b")))
-    return connected_components(pairs).select(F.col("node").alias("key"), "component")
+    return materialize(connected_components(pairs).select(F.col("node").alias("key"), "component"))
 
 
-def with_component(rows: DataFrame, keys: int, table: DataFrame) -> DataFrame:
-    """The rows with _component: that of their first key, or a component of their own where they have no key."""
-    own = F.concat(F.lit("record="), F.col("_id").cast("string"))
-    first = rows.withColumn("_key", F.get(F.array_compact("_keys"), F.lit(0)))
-    if keys == 1:  # the table maps every key to itself
-        return first.withColumn("_component", F.coalesce("_key", own)).drop("_key")
-    loose = first.where("_key is null").withColumn("_component", own).drop("_key")
-    tied = first.where("_key is not null").join(table.select(F.col("key").alias("_key"), F.col("component").alias("_component")), "_key").drop("_key")
-    return loose.unionByName(tied.select(loose.columns))
+def first_key(own: bool = False) -> Column:
+    """The first key of a record, which stands for all of them; with `own` a record without any is its own key."""
+    key = F.get(F.array_compact("_keys"), F.lit(0))
+    return F.coalesce(key, F.concat(F.lit("record="), F.col("_id").cast("string"))) if own else key
 
 
-def _splits_seen() -> Column:
-    names = [n for n, _ in SHARES]
-    return reduce(lambda a, b: a + b, [F.max(F.when(F.col("_split") == n, 1).otherwise(0)) for n in names])
+def _torn(rows: DataFrame, table: DataFrame, *more: Column) -> DataFrame:
+    """(_component, ...) of the components whose records lie in at least two source splits: splits are gathered by key
+    before they meet the table, so that no row of a large group travels."""
+    seen = [F.max(F.when(F.col("_split") == n, 1).otherwise(0)).alias(f"_in_{n}") for n, _ in SHARES]
+    by_key = rows.withColumn("_key", first_key()).where("_key is not null").groupBy("_key").agg(*seen, *more)
+    sums = [F.sum(n).alias(n) for n in by_key.columns if n != "_key" and not n.startswith("_in_")]
+    placed = by_key.join(table.select(F.col("key").alias("_key"), F.col("component").alias("_component")), "_key")
+    out = placed.groupBy("_component").agg(reduce(lambda a, b: a + b, [F.max(f"_in_{n}") for n, _ in SHARES]).alias("_seen"), *sums)
+    return out.where("_seen > 1").drop("_seen")
 
 
 def torn_records(records: DataFrame, by: tuple[str, ...] = ("group_id",)) -> DataFrame:
     """(record_id): every record of a component whose records lie in at least two source splits.
 
-    Records without a key tie nothing and are never torn. The component's splits are aggregated before the shuffle;
-    the records come back by a join on their component that splits skewed components.
+    Records without a key tie nothing and are never torn. The records come back by a join on their key that splits
+    skewed keys.
     """
-    rows = keyed_records(records, by)
-    table = component_table(rows, len(by))
-    placed = with_component(rows, len(by), table)
-    torn = placed.groupBy("_component").agg(_splits_seen().alias("_seen")).where("_seen > 1")
-    return placed.join(torn, "_component", "left_semi").select(F.col("_id").alias("record_id")).distinct()
+    rows = materialize(keyed_records(records, by))
+    table = component_table(rows)
+    keys = table.join(_torn(rows, table).select(F.col("_component").alias("component")), "component", "left_semi").select(F.col("key").alias("_key"))
+    return rows.select("_id", first_key().alias("_key")).join(keys, "_key", "left_semi").select(F.col("_id").alias("record_id")).distinct()
 
 
 def torn_components(records: DataFrame, by: tuple[str, ...] = ("group_id",)) -> DataFrame:
     """One row per torn component: its number of records in each source split and without one."""
-    rows = keyed_records(records, by).dropDuplicates(["_id"])
-    placed = with_component(rows, len(by), component_table(rows, len(by)))
+    rows = materialize(keyed_records(records, by).dropDuplicates(["_id"]))
     counts = [F.count_if(F.col("_split") == n).alias(n) for n, _ in SHARES]
-    out = placed.groupBy(F.col("_component").alias("component")).agg(_splits_seen().alias("_seen"), *counts, F.count_if(F.col("_split").isNull()).alias("none"))
-    return out.where("_seen > 1").drop("_seen")
+    return _torn(rows, component_table(rows), *counts, F.count_if(F.col("_split").isNull()).alias("none")).withColumnRenamed("_component", "component")
 
 
 def assign_components(sizes: DataFrame, shares: tuple[tuple[str, float], ...] = SHARES, held: dict[str, int] | None = None, large: float = 1e-4) -> DataFrame:
@@ -135,13 +131,14 @@ def assign_splits(
     Returns (record_id, component, split, status) and (key, component, split, status). Status is new, kept or quarantined.
     With a `previous` table, every component that holds one of its components keeps that split; where several splits
     meet, or one of them is quarantined already, the component is quarantined and its records get no split. Components
-    without records in this run are carried over. Records without any key are components
-    of their own. An empty table gives empty results.
+    without records in this run are carried over. Records without any key are components of their own, and keep their
+    split as well. An empty table gives empty results.
     """
-    rows = keyed_records(records, by).select("_id", "_keys").dropDuplicates(["_id"]).withColumn("_split", F.lit(None).cast("string"))
-    keys = len(by) if previous is None else len(by) + 1
-    table = materialize(component_table(rows, keys, previous))
-    placed = materialize(with_component(rows, keys, table).select("_id", "_component"))
+    rows = materialize(keyed_records(records, by).select("_id", "_keys").dropDuplicates(["_id"]))
+    loose = rows.select("_id", F.array(first_key(own=True)).alias("_keys"))  # a record without keys is a key
+    table = component_table(rows.unionByName(loose), previous)
+    placed = rows.select("_id", first_key(own=True).alias("key")).join(table, "key").select("_id", F.col("component").alias("_component"))
+    placed = materialize(placed)
     sizes = placed.groupBy(F.col("_component").alias("component")).agg(F.count(F.lit(1)).alias("n"))
     if previous is None:
         split = materialize(assign_components(sizes, shares)).withColumn("status", F.lit("new"))

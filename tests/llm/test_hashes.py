@@ -213,3 +213,18 @@ def test_quarantine_outlasts_runs(samples):
     _, table = splits.assign_splits(samples([grouped(300, "cam:888")]), by, previous=table)  # none of its records
     of = {r.key: (r.split, r.status) for r in table.collect()}
     assert of[at["train"]] == of[at["test"]] == (None, "quarantined") and len(of) == 63
+
+
+def test_records_without_a_group_keep_their_split(samples):
+    data = [grouped(i, None if i % 2 else f"cam:{i}") for i in range(80)]
+    out, table = splits.assign_splits(samples(data))
+    again, table = splits.assign_splits(samples(data + [grouped(500 + i, None) for i in range(60)]), previous=table)
+    third, _ = splits.assign_splits(samples(data), previous=table)
+    first = {r.record_id: r.split for r in out.collect()}
+    assert all(first[r.record_id] == r.split for r in again.collect() if r.record_id < 80)
+    assert {r.record_id: (r.split, r.status) for r in third.collect()} == {i: (s, "kept") for i, s in first.items()}
+
+
+def test_ties_through_others_are_torn(samples, rows):
+    data = [grouped(1, "cam:1", "train", "t1"), grouped(2, "cam:2", None, "t1"), grouped(3, "cam:2", "test", "t2"), grouped(4, None, "train", "t9")]
+    assert rows(splits.torn_records(samples(data))) == [] and rows(splits.torn_records(samples(data), ("group_id", "taxon_id"))) == [(1,), (2,), (3,)]
