@@ -1,16 +1,19 @@
 """Freely typed names mapped to a canonical list: BK-trees under the Levenshtein metric, by shards whose winners merge.
 
-A typed value is reduced to its letters (accents, case, separators, numbers and leading doubts removed) and to a few
-readings of them, as remarks, authors and subspecies follow a name: every run of its first words. Names are compared
+A typed value is reduced to its letters, of any script (accents, case, separators, numbers and leading doubts removed),
+and to readings of them, as remarks, authors and subspecies follow a name: every run of its first words that is no longer
+than an entry may be. Names are compared
 without blanks, so a lost blank costs nothing. A BK-tree holds the entries of a shard; a search returns every entry
 within the threshold, and skips a subtree whose edge differs from the node's distance by more than the threshold, which
-the triangle inequality allows. Distances of whole frontiers are computed at once, bit-parallel over 64-bit words.
+the triangle inequality allows. Distances of whole frontiers are computed at once, bit-parallel over 64-bit words; entries
+of more than 64 letters, or with letters beyond the shard's most frequent ones, take the same distance cell by cell.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +30,9 @@ SHARD_ENTRIES = 20_000
 LETTERS = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "æ": "ae", "œ": "oe", "ð": "d", "þ": "th", "ı": "i"})
 BEFORE = frozenset("prob probably poss possibly cf aff bird birds maybe perhaps ca near nr".split())
 AFTER = frozenset("sp spp spec species genus".split())
-WORD = re.compile(r"[a-z]+")
+WORD = re.compile(r"[^\W\d_]+")
+WORD_BITS = 64
+ALPHABET = 62  # letters of a shard that have bit masks of their own
 
 
 def words_of(text: str) -> tuple[list[str], list[str]]:
@@ -46,17 +51,29 @@ def words_of(text: str) -> tuple[list[str], list[str]]:
     return head, parts[1] if len(parts) > 1 else []
 
 
-def readings(text: str) -> list[str]:
+def _runs(words: list[str], longest: int) -> list[str]:
+    """The first words joined, for any number of them up to a length."""
+    out, now = [], ""
+    for w in words:
+        now += w
+        out.append(now)
+        if len(now) >= longest:
+            break
+    return out
+
+
+def readings(text: str, longest: int = 1 << 30) -> list[str]:
     """What may be compared with entries: the first words joined, for any number of them; "g epithet" if abbreviated;
-    "lark, northern" also turned round."""
+    "lark, northern" also turned round. Runs that go on beyond `longest` letters, more than any entry can be near to,
+    are not built."""
     words, rest = words_of(text)
     if not words or (len(words) > 1 and words[1] in AFTER):
         return []
     if len(words[0]) == 1:
         return [f"{words[0]} {words[1]}"] if len(words) > 1 and len(words[1]) > 3 else []
-    joined = ["".join(words[:n]) for n in range(1, min(len(words), 6) + 1)]
+    joined = _runs(words, longest)
     if len(words) == 1:
-        joined += ["".join(rest[:n] + words) for n in range(1, min(len(rest), 4) + 1)]
+        joined += [r + words[0] for r in _runs(rest, longest)]
     return [j for j in dict.fromkeys(joined) if len(j) >= 4]
 
 
@@ -78,23 +95,35 @@ def allowed(length: int, most: int = MAX_EDITS) -> int:
     return min(most, length // 4)
 
 
-def _codes(s: str) -> np.ndarray:
-    return np.frombuffer(s.encode("ascii"), np.uint8).astype(np.int64) % 32  # a-z are 1-26, the blank is 0
+def edit_distance(a: str, b: str) -> int:
+    """Levenshtein's distance, a row of cells at a time."""
+    if len(a) < len(b):
+        a, b = b, a
+    if not b:
+        return len(a)
+    at, codes = np.arange(len(b) + 1), np.array([ord(c) for c in b])
+    row = at.copy()
+    for i, c in enumerate(a, 1):
+        step = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (codes != ord(c)))])
+        row = np.minimum.accumulate(step - at) + at  # insertions
+    return int(row[-1])
 
 
 class BKTree:
-    """Entries of up to 64 characters; `children` of a node by their distance to it. Longer strings are refused."""
+    """Entries of any length; `children` of a node by their distance to it."""
 
     def __init__(self, strings: list[str]):
         strings = list(dict.fromkeys(strings))
-        if any(len(s) > 64 for s in strings):
-            raise ValueError("an entry is longer than 64 characters")
         self.strings = strings
         self.length = np.array([len(s) for s in strings], np.int64)
-        self.peq = np.zeros((len(strings), 32), np.uint64)
+        common = Counter(c for s in strings for c in s).most_common(ALPHABET)
+        self.code = {c: i for i, (c, _) in enumerate(common, 1)}  # 0 is any other letter, which equals none of an entry's
+        self.slow = np.array([len(s) > WORD_BITS or any(c not in self.code for c in s) for s in strings], bool)
+        self.peq = np.zeros((len(strings), ALPHABET + 2), np.uint64)
         for i, s in enumerate(strings):
-            for j, c in enumerate(_codes(s)):
-                self.peq[i, c] |= np.uint64(1 << j)
+            if not self.slow[i]:
+                for j, c in enumerate(s):
+                    self.peq[i, self.code[c]] |= np.uint64(1 << j)
         self.exact = {s: i for i, s in enumerate(strings)}
         self.edges: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # node -> distances, child nodes
         todo = [np.arange(len(strings))] if strings else []
@@ -111,14 +140,21 @@ class BKTree:
 
     def distances(self, queries: list[str], q: np.ndarray, nodes: np.ndarray) -> np.ndarray:
         """Levenshtein distances of the pairs (queries[q[i]], strings[nodes[i]])."""
+        out = np.empty(len(q), np.int64)
+        slow = self.slow[nodes]
+        for i in np.nonzero(slow)[0]:
+            out[i] = edit_distance(queries[q[i]], self.strings[nodes[i]])
+        fast = np.nonzero(~slow)[0]
         width = max(map(len, queries), default=0)
         text = np.zeros((len(queries), width), np.int64)
         size = np.array([len(s) for s in queries], np.int64)
         for i, s in enumerate(queries):
-            text[i, : len(s)] = _codes(s)
-        out = np.empty(len(q), np.int64)
-        for lo in range(0, len(q), 1 << 16):
-            self._block(text, size, q[lo : lo + (1 << 16)], nodes[lo : lo + (1 << 16)], out[lo : lo + (1 << 16)])
+            text[i, : len(s)] = [self.code.get(c, 0) for c in s]
+        got = np.empty(len(fast), np.int64)
+        for lo in range(0, len(fast), 1 << 16):
+            some = fast[lo : lo + (1 << 16)]
+            self._block(text, size, q[some], nodes[some], got[lo : lo + (1 << 16)])
+        out[fast] = got
         return out
 
     def _block(self, text: np.ndarray, size: np.ndarray, q: np.ndarray, nodes: np.ndarray, out: np.ndarray) -> None:
@@ -185,38 +221,44 @@ def reference_names(taxa: DataFrame, overrides: DataFrame, wetland: DataFrame) -
 def best_matches(typed: DataFrame, reference: DataFrame, col: str = "text", max_edits: int = MAX_EDITS, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
     """(text, distance, taxa): for each distinct typed text the entries at the smallest distance within the threshold.
 
-    `taxa` is the set of ids at that distance; more than one mean that the text is ambiguous. Texts without a match,
-    null and blank ones give no row. The reference comes to the driver shard by shard, each of a bounded number of
-    entries; the tree of a shard is broadcast, and the winners of all shards merge by their smallest distance.
+    Of entries that a text holds exactly, the longest counts. `taxa` is the set of ids at that distance; more than one
+    mean that the text is ambiguous. Texts without a match, null and blank ones give no row. The reference comes to the
+    driver shard by shard, each of a bounded number of entries; the tree of a shard is broadcast, and the winners of all
+    shards merge by their distance and length, so that the number of shards changes nothing.
     """
     spark = typed.sparkSession
     ship(spark)
-    reference = materialize(reference)
-    shards = max(1, -(-reference.count() // shard_entries))
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(key, taxon) for name, scientific, taxon in zip(b["name"], b["scientific"], b["taxon_id"]) for key in entry_keys(name, scientific)]
+            yield pd.DataFrame(rows, columns=["key", "taxon_id"])
+
+    entries = materialize(reference.mapInPandas(keyed, "key string, taxon_id string").distinct())
+    keys, longest = entries.agg(F.count_distinct("key"), F.max(F.length("key"))).first()
+    shards, longest = max(1, -(-keys // shard_entries)), (longest or 0) + max_edits
     texts = materialize(typed.select(F.col(col).cast("string").alias("text")).where(F.col("text").rlike(r"\p{L}")).distinct())
     winners = None
     for shard in range(shards):
         ids: dict[str, set[str]] = {}
-        for name, scientific, taxon in reference.where(F.pmod(F.xxhash64("name"), F.lit(shards)) == shard).toLocalIterator():
-            for key in entry_keys(name, scientific):
-                if len(key) <= 64:
-                    ids.setdefault(key, set()).add(taxon)
-        keys = sorted(ids)
-        shared = spark.sparkContext.broadcast((BKTree(keys), [sorted(ids[k]) for k in keys]))
+        for key, taxon in entries.where(F.pmod(F.xxhash64("key"), F.lit(shards)) == shard).toLocalIterator():
+            ids.setdefault(key, set()).add(taxon)
+        held = sorted(ids)
+        shared = spark.sparkContext.broadcast((BKTree(held), [sorted(ids[k]) for k in held]))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             tree, taxa = shared.value
             for batch in batches:
                 asked, of = [], []
-                best: dict[int, tuple[int, set[str]]] = {}
+                best: dict[int, tuple[int, int, set[str]]] = {}
                 for i, text in enumerate(batch["text"]):
-                    said = readings(text)
+                    said = readings(text, longest)
                     hits = [tree.exact[r] for r in said if r in tree.exact]
                     if hits:  # the longest reading that is an entry
-                        best[i] = (0, set(taxa[hits[-1]]))
+                        best[i] = (0, len(tree.strings[hits[-1]]), set(taxa[hits[-1]]))
                         continue
                     for r in said:
-                        if len(r) <= 64 + max_edits and allowed(len(r), max_edits):
+                        if len(r) <= longest and allowed(len(r), max_edits):
                             asked.append(r)
                             of.append(i)
                 distinct = list(dict.fromkeys(asked))
@@ -227,18 +269,19 @@ def best_matches(typed: DataFrame, reference: DataFrame, col: str = "text", max_
                         if (" " in r) != (" " in tree.strings[node]):
                             continue
                         if i not in best or d < best[i][0]:
-                            best[i] = (d, set(taxa[node]))
+                            best[i] = (d, 0, set(taxa[node]))
                         elif d == best[i][0]:
-                            best[i][1].update(taxa[node])
-                rows = [(batch["text"].iloc[i], d, sorted(t)) for i, (d, t) in best.items()]
-                yield pd.DataFrame(rows, columns=["text", "distance", "taxa"])
+                            best[i][2].update(taxa[node])
+                rows = [(batch["text"].iloc[i], d, size, sorted(t)) for i, (d, size, t) in best.items()]
+                yield pd.DataFrame(rows, columns=["text", "distance", "size", "taxa"])
 
-        part = texts.repartition(2 * spark.sparkContext.defaultParallelism).mapInPandas(run, "text string, distance int, taxa array<string>")
+        part = texts.repartition(2 * spark.sparkContext.defaultParallelism).mapInPandas(run, "text string, distance int, size int, taxa array<string>")
         winners = part if winners is None else winners.unionByName(part)
     if shards == 1:
-        return winners
-    merged = winners.groupBy("text").agg(F.min("distance").alias("distance"))
-    return winners.join(merged, ["text", "distance"]).groupBy("text", "distance").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("taxa")))).alias("taxa"))
+        return winners.drop("size")
+    winners = materialize(winners)
+    first = winners.groupBy("text").agg(F.min(F.struct("distance", (-F.col("size")).alias("size"))).alias("_w")).select("text", "_w.distance", (-F.col("_w.size")).alias("size"))
+    return winners.join(first, ["text", "distance", "size"]).groupBy("text", "distance").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("taxa")))).alias("taxa"))  # one list a shard
 
 
 def resolve(cases: DataFrame, reference: DataFrame) -> DataFrame:

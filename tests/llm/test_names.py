@@ -25,15 +25,14 @@ def word(n):
 
 
 def test_tree_returns_every_entry_within_the_limit():
-    entries = list(dict.fromkeys(word(RNG.randint(1, 64)) for _ in range(150)))
+    entries = list(dict.fromkeys(word(RNG.randint(1, 80)) for _ in range(150))) + ["ωλκ" * 5, "".join(map(chr, range(0x4E00, 0x4E50)))]
     queries = [word(RNG.randint(0, 68)) for _ in range(20)] + [e[1:] + "ab" for e in entries[:20]]
     tree = names.BKTree(entries)
     limits = np.array([RNG.randint(0, 5) for _ in queries])
     for q, limit, found in zip(queries, limits, tree.search(queries, limits)):
         assert sorted((d, tree.strings[n]) for d, n in found) == sorted((d, e) for e in entries if (d := plain(q, e)) <= limit)
     assert names.BKTree([]).search(["a"], np.array([3])) == [[]]
-    with pytest.raises(ValueError):
-        names.BKTree(["a" * 65])
+    assert all(names.edit_distance(a, b) == plain(a, b) for a in queries for b in entries[:5])
 
 
 @pytest.mark.parametrize(
@@ -69,6 +68,16 @@ def test_matches(spark, shard_entries):
     }
 
 
+@pytest.mark.parametrize("shard_entries", [20_000, 1])
+def test_length_script_and_shards_change_nothing(spark, shard_entries):
+    long, many, greek = "Skem" + "vaerplaor" * 8, "One two three four five six seven eight", "Σπίνος ο κοινός"
+    entries = [(long, False, "t1"), (many, False, "t2"), (greek, False, "t3"), ("Northern lark", False, "a"), ("Northern lark song finch", False, "b")]
+    got = found(spark, [long, long[:-1] + "x", many.upper(), "Σπινος ο κοινοσ", "northern lark song finch", "northern lark, male", "word " * 20_000], entries, shard_entries=shard_entries)
+    assert got == {
+        long: (0, ["t1"]), long[:-1] + "x": (1, ["t1"]), many.upper(): (0, ["t2"]), "Σπινος ο κοινοσ": (0, ["t3"]), "northern lark song finch": (0, ["b"]), "northern lark, male": (0, ["a"]),
+    }
+
+
 def test_resolve(spark, rows):
     cases = spark.createDataFrame([("sample", 1, "Skemvaerplaor neiklaumifer"), ("sample", 1, "Skemvaerplaor neiklaumifer"), ("sample", 2, None), ("override", 3, " "), ("wetland", 4, "F. brelklarkalis"), (None, None, "x")], "entry_kind string, entry_id bigint, text string")
     got = names.resolve(cases, spark.createDataFrame(ALL, ENTRIES))
