@@ -4,13 +4,13 @@ Every document of a source gets the same expected number of copies, target token
 part is certain; the fraction is rounded by pivoting: two documents with open fractions pass mass to each other, in
 tokens, in a random direction that keeps both expectations, until one of them is at 0 or 1. Tokens are kept at every
 step, so a source misses its target by the tokens of one document at most. Blocks of documents pivot on their own and
-leave one open fraction each; a reduction tree combines these until one is left per source.
+leave one open fraction each; a reduction tree combines these until one is left per source, which a draw decides.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,35 +20,58 @@ from pyspark.sql import functions as F
 
 from tarsus.runtime import materialize, ship
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+#: Default of the setting spark.tarsus.tokenizer: a public vocabulary, as ranks (.tiktoken) or a tokenizers file (.json).
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Fixed value: how the byte-level vocabularies of 50k ranks cut a text before they merge.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLOCK_ROWS = 20_000
 FAN_IN = 64
 OPEN = "doc_id {kind}, source string, tokens bigint, whole int, part double, block bigint"
 
 
-def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER, keep: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
+_counters: dict[int, Callable[[list[str]], list[int]]] = {}
+
+
+def counter(content: str, ranks: bool) -> Callable[[list[str]], list[int]]:
+    """The token counts of whole texts under a tokenizer file's content, built once a worker. Special tokens' names in a
+    text are ordinary text."""
+    key = hash(content)
+    if key not in _counters:
+        if ranks:
+            import base64
+
+            from tiktoken import Encoding
+
+            table = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in content.splitlines() if line)}
+            encoding = Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
+            _counters[key] = lambda texts: [len(encoding.encode_ordinary(t)) for t in texts]
+        else:
+            import os
+
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+            from tokenizers import Tokenizer
+
+            tokenizer = Tokenizer.from_str(content)
+            tokenizer.encode_special_tokens = True
+            _counters[key] = lambda texts: [len(e.ids) for at in range(0, len(texts), 256) for e in tokenizer.encode_batch(texts[at : at + 256], add_special_tokens=False)]
+    return _counters[key]
+
+
+def token_counts(documents: DataFrame, tokenizer: str | None = None, keep: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
     """The kept columns with `tokens`, the length of each whole text under a public tokenizer file; null texts have 0.
 
-    The file is read by the driver and sent to the workers once.
+    The file is the one given, or that of the setting spark.tarsus.tokenizer; the driver reads it and sends it to the
+    workers once.
     """
     spark = documents.sparkSession
-    with open(tokenizer, encoding="utf-8") as f:
-        shared = spark.sparkContext.broadcast(f.read())
+    path = tokenizer or spark.conf.get("spark.tarsus.tokenizer", TOKENIZER)
+    with open(path, encoding="utf-8") as f:
+        shared = spark.sparkContext.broadcast((f.read(), path.endswith(".tiktoken")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_str(shared.value)
-        t.encode_special_tokens = True
+        count = counter(*shared.value)
         for batch in batches:
-            texts = batch["_text"].fillna("").tolist()
-            counts = []
-            for at in range(0, len(texts), 256):
-                counts += [len(e.ids) for e in t.encode_batch(texts[at : at + 256], add_special_tokens=False)]
-            yield batch.drop(columns="_text").assign(tokens=np.array(counts, np.int64))
+            yield batch.drop(columns="_text").assign(tokens=np.array(count(batch["_text"].fillna("").tolist()), np.int64))
 
     schema = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)
     return documents.select(*keep, F.col("text").alias("_text")).mapInPandas(run, schema + ", tokens bigint")
@@ -105,7 +128,7 @@ def _draw(ids: pd.Series, seed: str) -> np.ndarray:
     return np.array([int.from_bytes(hashlib.blake2b(f"{seed}|{i}".encode(), digest_size=7).digest(), "big") / 2.0**56 for i in ids])
 
 
-def draw_mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, total: float | None = None, seed: int = 7, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+def draw_mix(documents: DataFrame, targets: DataFrame, tokenizer: str | None = None, total: float | None = None, seed: int = 7, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
     """(doc_id, source, tokens, copies) of the drawn documents, and the plan of plan_shares.
 
     Documents without an id, a targeted source or any token are not drawn; a doc_id counts once in a source. The draw
@@ -136,7 +159,8 @@ def draw_mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZE
     while True:
         rows = materialize(open_rows.groupBy("source", "block").applyInPandas(settle(level), schema))
         if blocks == 1:
-            done.append(rows.withColumn("part", F.when(F.col("part").isin(0.0, 1.0), F.col("part")).otherwise(F.round("part"))))
+            lot = F.pmod(F.xxhash64(F.lit(f"{seed}|last"), F.col("doc_id").cast("string")), F.lit(1 << 53)) / float(1 << 53)  # one open document a source
+            done.append(rows.withColumn("part", F.when(F.col("part").isin(0.0, 1.0), F.col("part")).otherwise((lot < F.col("part")).cast("double"))))
             break
         done.append(rows.where("part in (0.0, 1.0)"))
         blocks, level = -(-blocks // FAN_IN), level + 1
