@@ -1,8 +1,9 @@
 """Text that was decoded with the wrong character encoding: detection, round-trip repair, and what cannot be restored.
 
 Repair re-encodes suspicious runs under a candidate legacy encoding and decodes them strictly as the intended one. It is
-repeated for nested layers, and a layer is accepted only where the garbling cost of the text falls. Two families of
-damage are tried: UTF-8 bytes read as a one-byte encoding, and one one-byte encoding read as another.
+repeated for nested layers, until no layer is left that lowers the garbling cost of the text. Three families of damage
+are tried: UTF-8 bytes read as a one-byte encoding, one one-byte encoding read as another, and runs of another script's
+legacy encoding read as a western one.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ from tarsus.runtime import ship
 LEGACY = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "iso8859_15", "iso8859_2", "cp1254", "koi8_r")
 #: (intended, read as): one-byte encodings that were taken for another one.
 CONFUSED = tuple((i, r) for i in ("mac_roman", "cp437", "cp850", "cp1252") for r in ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251") if i != r)
-LAYERS = 4
+#: Legacy encodings of other scripts, and what their bytes are mostly read as.
+SCRIPTS = ("shift_jis", "euc_jp", "euc_kr", "gb2312", "big5", "cp1251", "koi8_r", "cp1253", "cp1255", "cp1256", "cp874")
+READ_AS = ("cp1252", "latin-1")
 LOSS = "�"
 
 #: Letters that clean en, fr, de and es texts and names don't use, and those that may stand alone.
@@ -85,8 +88,14 @@ def fits(text: str, i: int) -> bool:
         return before.isdigit() or before.isspace() or after == "C"
     if c in "€£§©®™µ×±½¼¾²³·•†‡":
         return not before.isalpha() and not after.isalpha()
+    if "\u0300" <= c and unicodedata.category(c) in ("Mn", "Mc"):
+        return before.isalpha() or unicodedata.category(before) in ("Mn", "Mc")
+    if "\u3000" <= c < "\u3040" or "\uff00" <= c < "\uff66":  # signs between ideographs
+        return True
     if unicodedata.category(c) not in ("Lu", "Ll", "Lo") or c in RARE:
         return False
+    if c >= "\u0590" and not c.isupper() and not c.islower():  # a script without case stands among digits and words of its own
+        return True
     if before.isdigit() or after.isdigit():
         return False
     if not before.isalnum() and not after.isalnum():
@@ -98,15 +107,17 @@ def fits(text: str, i: int) -> bool:
 
 def script(c: str) -> str:
     o = ord(c)
-    return "greek" if 0x370 <= o < 0x400 else "cyrillic" if 0x400 <= o < 0x530 else "latin" if c.isalpha() and o < 0x250 else "other"
+    return "greek" if 0x370 <= o < 0x400 else "cyrillic" if 0x400 <= o < 0x530 else "latin" if c.isalpha() and (o < 0x250 or 0x1E00 <= o < 0x1F00) else "other"
 
 
 OTHER_SCRIPTS = re.compile(r"[^\W\d_\x00-\u024f]")
 LETTERS = re.compile(r"[^\W\d_]+")
+CAPITALS = re.compile("\\b[{0}]{{2,}}[{1}]".format(*("".join(c for c in map(chr, range(0x41, 0x250)) if is_case(c)) for is_case in (str.isupper, str.islower))))
 
 
 def cost(text: str) -> int:
-    """Garbling cost: characters out of place, lost or control characters, and words of mixed scripts."""
+    """Garbling cost: characters out of place, lost or control characters, and words of mixed scripts or of capitals that
+    end in small letters."""
     total = 0
     for i, c in enumerate(text):
         if c > "\x7f":
@@ -114,21 +125,25 @@ def cost(text: str) -> int:
     if OTHER_SCRIPTS.search(text):
         for word in LETTERS.findall(text):
             total += not word.isascii() and len({script(c) for c in word}) > 1
+    for m in CAPITALS.finditer(text):
+        total += not m[0][:-1].isascii()
     return total
 
 
 def _plausible(decoded: str, encoding: str) -> bool:
-    """Whether a decoded run may be what was meant: western letters and signs, or two letters at least of another script."""
+    """Whether a decoded run may be what was meant: western letters and signs, or two letters at least of other scripts."""
     other = 0
     for c in decoded:
         o = ord(c)
         if "\x80" <= c <= "\x9f" or c == LOSS:
             return False
-        if 0xA0 <= o < 0x180 or 0x2010 <= o <= 0x203A or c in "€™ŠšŽžœŒŸƒˆ˜−≈≤≥":
+        if 0xA0 <= o < 0x180 or 0x2010 <= o <= 0x203A or c in "€™ŠšŽžœŒŸƒˆ˜−≈≤≥" or 0x1E00 <= o < 0x1F00:
             continue
-        if 0x370 <= o < 0x530 and encoding not in ("cp1251", "koi8_r"):
+        if 0x370 <= o < 0x530:
             other += 1
-        elif not 0x1F000 <= o < 0x1FB00:
+        elif unicodedata.category(c) in ("Lo", "Mn", "Mc") and o >= 0x590:
+            other += 1
+        elif not (0x1F000 <= o < 0x1FB00 or 0x3000 <= o < 0x3040 or 0xFF00 <= o < 0xFF66):
             return False
     return other != 1
 
@@ -184,6 +199,7 @@ def _confusion(intended: str, read: str) -> dict[int, str]:
     return out
 
 
+FOREIGN = re.compile(r"[^\x00-\x7f]{2}[^\n]*[^\x00-\x7f]{2}")
 WORD = re.compile(r"\S+")
 SENTENCE = re.compile(r"[^\n]+?(?:[.!?](?=\s)|(?=\n)|$)")
 
@@ -223,6 +239,43 @@ def _confused_parts(text: str, part: re.Pattern) -> tuple[str, bool]:
     return "".join([*out, text[last:]]), True
 
 
+def _block_of(c: str) -> str:
+    return script(c) if ord(c) < 0x590 else "cjk" if ord(c) >= 0x2E80 else str(ord(c) >> 7)
+
+
+def repair_script(text: str) -> tuple[str, bool]:
+    """Stretches of a line whose bytes are those of another script's legacy encoding: the encoding that decodes them
+    strictly, to letters of one script other than latin, at the least cost and at less than half of the cost before."""
+    out, last = [], 0
+    for m in FOREIGN.finditer(text):
+        old, best = cost(m[0]), None
+        strangers = sum(c > "\x7f" for c in m[0])
+        if old < 4 or strangers < 6 or 2 * strangers < len(m[0].replace(" ", "")) or _shown(m[0]):
+            continue
+        for read in READ_AS:
+            table = byte_table(read)
+            try:
+                raw = bytes(table[c] if c > "\x7f" else ord(c) for c in m[0])
+            except KeyError:
+                continue
+            for intended in SCRIPTS:
+                try:
+                    new = raw.decode(intended)
+                except UnicodeDecodeError:
+                    continue
+                letters = [c for c in new if c > "\x7f" and c.isalpha()]
+                if 2 * len(letters) < len(new.replace(" ", "")) or len({_block_of(c) for c in letters}) > 1 or _block_of(letters[0]) == "latin":
+                    continue
+                strange = sum(c > "\x7f" and not c.isalpha() and not fits(new, i) for i, c in enumerate(new)) + sum(len({c.isupper() for c in w[1:]}) > 1 or w[:1].islower() and w[1:].isupper() for w in LETTERS.findall(new))
+                own = sum("\u3040" <= c < "\u3100" or c >= "\uac00" for c in letters)  # kana and hangul tell encodings of ideographs apart
+                if 2 * (cost(new) + strange) < old and (best is None or (cost(new) + strange, -own) < best[:2]):
+                    best = cost(new) + strange, -own, new
+        if best:
+            out += [text[last : m.start()], best[2]]
+            last = m.end()
+    return "".join([*out, text[last:]]), bool(out)
+
+
 def _changed(old: str, new: str) -> list[int]:
     return [i for i, (a, b) in enumerate(zip(old, new)) if a != b] if len(old) == len(new) else []
 
@@ -254,34 +307,40 @@ def lost(text: str) -> bool:
 BLANKED = re.compile(r"(?<![A-ZÀ-Þ])Ã (?![A-ZÀ-Þ])")
 
 
+def settled(text: str, now: int, seen: dict[str, tuple[str, int]]) -> tuple[str, int]:
+    """The text at the least cost that layers of UTF-8 repair lead to, each of which lowers the cost, and that cost."""
+    if text not in seen:
+        best = text, now
+        if now and suspects().search(text):
+            for e in LEGACY:
+                new, n = repair_layer(text, e)
+                if n and new not in seen and (c := cost(new)) < now:
+                    best = min(best, settled(new, c, seen), key=lambda x: x[1])
+        seen[text] = best
+    return seen[text]
+
+
 def repair(text: str) -> tuple[str, bool, bool]:
     """(best text, whether any passage was garbled, whether the original was restored in full)."""
     if text.isascii():
         return text, False, True
-    now, garbled, before = text, False, cost(text)
-    for _ in range(LAYERS):
-        best = None
-        if suspects().search(now):
-            best_cost = cost(now) if garbled else before
-            for e in LEGACY:
-                new, n = repair_layer(now, e)
-                if n and ((c := cost(new)) < best_cost or (c == best_cost and best is None)):
-                    best, best_cost = new, c
-        if best is None:
-            break
-        now, garbled = best, True
+    before = cost(text)
+    now, left = settled(text, before, {})
+    garbled = now != text
     if garbled:
         now = BLANKED.sub(lambda m: "à" if now[m.end() : m.end() + 1] in tuple(" \xa0\n.,;:!?)") else "à ", now)
-    elif before:
-        now, garbled = repair_confusion(now)
+    if cost(now) if garbled else left:
+        now, foreign = repair_script(now)
+        now, confused = repair_confusion(now) if not foreign else (now, False)
+        garbled |= foreign or confused
     gone = LOSS in now and lost(now)
-    return now, garbled or gone, not gone
+    return now, garbled or gone, not gone and (not garbled or cost(now) == 0)
 
 
 def repaired_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, restored_text, complete): the documents of which a passage was decoded wrongly, with the best text.
 
-    `complete` is false where characters were lost for good. Null, blank and pure ASCII texts are never affected and
+    `complete` is false where characters were lost for good, or where some still stand out of place. Null, blank and pure ASCII texts are never affected and
     are set aside before Python sees them; texts are read whole. Other columns are ignored, rows without an id left out.
     """
     ship(documents.sparkSession)

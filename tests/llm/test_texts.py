@@ -155,3 +155,42 @@ def test_documents(spark, rows):
     got = {r.doc_id: (r.restored_text, r.complete) for r in encoding.repaired_documents(docs(spark, data)).collect()}
     assert got == {1: ("bewölkt", True), 5: (long + "Füße", True), 6: ("enth�lt", False)}
     assert encoding.repaired_documents(docs(spark, []).withColumn("x", F.lit(1))).count() == 0
+
+
+@pytest.mark.parametrize("layers", range(1, 8))
+def test_any_number_of_layers(layers):
+    text = garbled = "Der Graureiher blüht früh, naïve café"
+    for _ in range(layers):
+        garbled = garbled.encode().decode("latin-1")
+    assert encoding.repair(garbled) == (text, True, True)
+
+
+@pytest.mark.parametrize(
+    "text,intended,read",
+    [
+        ("Привет мир, как дела", "utf-8", "cp1251"), ("שלום עולם", "utf-8", "latin-1"), ("สวัสดีชาวโลก", "utf-8", "latin-1"), ("Tiếng Việt rất hay", "utf-8", "latin-1"), ("日本語テキスト", "utf-8", "latin-1"),
+        ("مرحبا بالعالم", "utf-8", "latin-1"), ("Привет мир, как дела", "koi8_r", "latin-1"), ("Привет мир, как дела", "cp1251", "latin-1"), ("한국어 문장입니다", "euc_kr", "latin-1"), ("Καλημέρα κόσμε", "cp1253", "latin-1"),
+    ],
+)
+def test_other_scripts(text, intended, read):
+    assert encoding.repair(text) == (text, False, True)
+    assert encoding.repair(text.encode(intended).decode(read))[:2] == (text, True)
+
+
+def test_what_stays_out_of_place_is_not_complete():
+    both = "Ein Zaunkönig sang.".encode().decode("latin-1") + " gr\x9aße"
+    text, garbled, complete = encoding.repair(both)
+    assert text.startswith("Ein Zaunkönig") and garbled and not complete
+
+
+def test_last_open_document_is_drawn_fairly(spark):
+    table = docs(spark, [(1, "a b c", "s"), (2, "a b c", "t"), (3, "a b c", "t"), (4, "a b c", "t"), (5, "a b c", "t")])
+    targets = spark.createDataFrame([("s", 0.1, 1), ("t", 0.9, 1)], "source string, target_share double, max_repeats int")
+    drawn = [sum(r.source == "s" for r in mixing.draw_mix(table, targets, seed=seed)[0].collect()) for seed in range(12)]
+    assert 0 < sum(drawn) < 12  # expected 4/9 of a copy
+
+
+def test_both_kinds_of_tokenizer_count_alike(spark, rows):
+    table = docs(spark, [(1, "Zaunkönig <|endoftext|> 12", "s"), (2, None, "s"), (3, "it's  here\n", "s")])
+    got = [rows(mixing.token_counts(table, mixing.TOKENIZER.replace(".tiktoken", end))) for end in (".tiktoken", ".json")]
+    assert got[0] == got[1] and [r[2] for r in got[0]][1] == 0
