@@ -37,5 +37,14 @@ SELECT vector_id, neighbour_id FROM r WHERE rank <= 5""",
     "p3_found": f"WITH {CLEAN}, {_GROUPS} SELECT record_id FROM clean WHERE grp IN (SELECT grp FROM g)",
     "p3_torn_groups": f"WITH {CLEAN}, {_GROUPS} SELECT 'group_id=' || grp AS component, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'validation') AS validation, count(*) FILTER (split = 'test') AS test, count(*) FILTER (split IS NULL) AS none FROM clean WHERE grp IN (SELECT grp FROM g) GROUP BY grp",
     "p7_found": f"WITH {CLEAN}, {_CHUNKS} SELECT DISTINCT least(x, y) AS record_id_a, greatest(x, y) AS record_id_b FROM (SELECT * FROM near UNION ALL SELECT * FROM same)",
+    "p7_coverage": f"""WITH {CLEAN}, {_CHUNKS}, d AS (SELECT DISTINCT x, y, bit_count(xor(a.u, b.u)) AS bits FROM near JOIN h a ON a.record_id = x JOIN h b ON b.record_id = y),
+sides AS (SELECT x AS r, y AS o, bits, true AS by_hash FROM d UNION ALL SELECT y, x, bits, true FROM d UNION ALL SELECT x, y, 0, false FROM same UNION ALL SELECT y, x, 0, false FROM same)
+SELECT r AS record_id, any_value(c.split) AS source_split, any_value(c.dataset_id) AS dataset_id, count(*) FILTER (NOT by_hash) AS by_digest, count(*) FILTER (by_hash) AS by_hash,
+CASE WHEN count(*) FILTER (NOT by_hash) > 0 THEN 1.0::DOUBLE ELSE 1 - min(bits) / 64.0::DOUBLE END AS coverage FROM sides JOIN clean c ON c.record_id = r GROUP BY r""",
+    "p7_report": f"""WITH {CLEAN}, {_CHUNKS}, d AS (SELECT DISTINCT x, y, bit_count(xor(a.u, b.u)) AS bits FROM near JOIN h a ON a.record_id = x JOIN h b ON b.record_id = y),
+sides AS (SELECT x AS r, y AS o, bits, true AS by_hash FROM d UNION ALL SELECT y, x, bits, true FROM d UNION ALL SELECT x, y, 0, false FROM same UNION ALL SELECT y, x, 0, false FROM same),
+per AS (SELECT r, bool_or(NOT by_hash) AS dg, bool_or(by_hash) AS nh, count(DISTINCT o) AS pairs, CASE WHEN bool_or(NOT by_hash) THEN 1.0::DOUBLE ELSE 1 - min(bits) / 64.0::DOUBLE END AS cover FROM sides GROUP BY r)
+SELECT split AS source_split, dataset_id, count(*) AS records, count(cover) AS overlapping, count(*) FILTER (dg) AS same_digest, count(*) FILTER (nh) AS near_hash, coalesce(sum(pairs), 0)::BIGINT AS pairs, round(avg(cover), 6) AS mean_coverage
+FROM clean LEFT JOIN per ON r = record_id WHERE split IS NOT NULL GROUP BY ALL""",
     "p8_found": f"WITH {_GRAMS} SELECT doc_id, item_id FROM hits",
 }

@@ -13,13 +13,13 @@ from __future__ import annotations
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarsus.functions.fields import digest256, hash64, split_name
 from tarsus.runtime import materialize
 
 SCRAMBLE = 0x9E37
+SKEW_SHARE = 64
 
 
 def seeds(bits: Column, windows: int = 6, k: int = 9) -> list[Column]:
@@ -48,29 +48,28 @@ def chains(rows: DataFrame, bits: str, windows: int, max_bits: int, k: int) -> D
 def matching_values(train: DataFrame, held: DataFrame, max_bits: int = 4, windows: int = 6, k: int = 9, hot: int = 4096) -> DataFrame:
     """(_t, _e): pairs of a train and a held-out value, each in column _h and distinct, that differ in up to max_bits bits.
 
-    A chain whose train side and held-out side would pair to more than hot x hot candidates is cut finer: its rows get
-    the chains of twice the windows with max_bits taken away, which are again complete.
+    The two sides are joined on their chains. A chain whose sides would pair to more than about hot x hot candidates is
+    cut finer: its rows get the chains of twice the windows and two with max_bits taken away, which are again complete.
+    Such chains are told from the counts of every 64th value, which decide the way and lose nothing.
     """
     both = train.select("_h", F.lit(True).alias("_train")).unionByName(held.select("_h", F.lit(False).alias("_train")))
     keyed = chains(both, "_h", windows, max_bits, k)
-    w = W.partitionBy("_key")
-    n_train = F.sum(F.col("_train").cast("bigint")).over(w)
-    n_all = F.count(F.lit(1)).over(w)
-    sized = materialize(keyed.withColumn("_nt", n_train).withColumn("_ne", n_all - n_train).where("_nt > 0 and _ne > 0"))
+    share = max(1, min(SKEW_SHARE, hot // 16))
+    sampled = chains(both.where(F.pmod(F.xxhash64("_h"), F.lit(share)) == 0), "_h", windows, max_bits, k)
+    counts = sampled.groupBy("_key").agg(F.count_if("_train").alias("_nt"), F.count_if(~F.col("_train")).alias("_ne"))
+    large = materialize(counts.where(F.col("_nt") * F.col("_ne") * share * share > hot * hot).select("_key"))
 
     def joined(rows: DataFrame) -> DataFrame:
         t = rows.where("_train").select("_key", F.col("_h").alias("_t"))
         e = rows.where("not _train").select("_key", F.col("_h").alias("_e"))
         return t.join(e, "_key").where(F.bit_count(F.col("_t").bitwiseXOR(F.col("_e"))) <= max_bits).select("_t", "_e")
 
-    small = F.col("_nt") * F.col("_ne") <= hot * hot
-    out = joined(sized.where(small))
-    large = sized.where(~small)
-    if not large.isEmpty():
-        fine = large.select("_h", "_train", F.col("_key").alias("_outer"))
-        fine = chains(fine, "_h", 2 * max_bits + 2, max_bits, 6).withColumn("_key", F.xxhash64("_outer", "_key"))
-        out = out.unionByName(joined(fine))
-    return out.distinct()
+    if large.isEmpty():
+        return joined(keyed).distinct()
+    out = joined(keyed.join(large, "_key", "left_anti"))
+    fine = keyed.join(large, "_key", "left_semi").select("_h", "_train", F.col("_key").alias("_outer"))
+    fine = chains(fine, "_h", 2 * max_bits + 2, max_bits, 6).withColumn("_key", F.xxhash64("_outer", "_key"))
+    return out.unionByName(joined(fine)).distinct()
 
 
 def _prepared(records: DataFrame, id_col: str, hash_col: str, sha_col: str, split_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -89,7 +88,7 @@ def cross_split_pairs(
     arrives twice counts once, other columns are ignored. Values are matched once however many records hold them and
     unfolded at the end; both unfolding joins split skewed keys.
     """
-    rows = _prepared(records, id_col, hash_col, sha_col, split_col).withColumn("_train", F.col("_split") == "train")
+    rows = materialize(_prepared(records, id_col, hash_col, sha_col, split_col).select("_id", "_h", "_d", (F.col("_split") == "train").alias("_train")))
     t, e = rows.where("_train"), rows.where("not _train")
     values = materialize(rows.where("_h is not null").groupBy("_h", "_train").agg(F.count(F.lit(1)).alias("_n")))
     near = materialize(matching_values(values.where("_train").select("_h"), values.where("not _train").select("_h"), max_bits))
@@ -100,21 +99,17 @@ def cross_split_pairs(
     return pairs.select(F.least("_x", "_y").alias("record_id_a"), F.greatest("_x", "_y").alias("record_id_b")).distinct()
 
 
-def overlap_report(records: DataFrame, max_bits: int = 4) -> DataFrame:
-    """Per split and dataset: records, records that occur on the other side, pairs, and mean coverage of their bits.
-
-    The sides are train and held-out; a pair of `cross_split_pairs` counts once under the split and dataset of each of
-    its two records. A record's coverage is the share of its bits that the best matching value of the other side
-    covers (1 for an equal digest).
-    """
-    rows = _prepared(records, "record_id", "phash", "sha256", "source_split", ("dataset_id",)).dropDuplicates(["_id"]).drop("_id")
+def _scored(records: DataFrame, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, shared): every record of a split once, with its pairs by digest and by hash and the least distance of a
+    hash of the other side; and the pairs that match by both, as negative counts under each of their two places."""
+    rows = _prepared(records, "record_id", "phash", "sha256", "source_split", ("dataset_id",)).dropDuplicates(["_id"])
     rows = materialize(rows.withColumn("_train", F.col("_split") == "train"))
     bits, place = F.bit_count(F.col("_t").bitwiseXOR(F.col("_e"))), ("_split", "_k_dataset_id")
 
     # digests: counts of both sides; a digest that only one side holds is dropped from the rows
     digests = rows.where("_d is not null").groupBy("_d").agg(F.count_if("_train").alias("_nt"), F.count_if(~F.col("_train")).alias("_ne")).where("_nt > 0 and _ne > 0")
     other = F.coalesce(F.when(F.col("_train"), F.col("_ne")).otherwise(F.col("_nt")), F.lit(0))
-    rows = materialize(rows.join(digests, "_d", "left").select(*place, "_train", "_h", F.when(F.col("_nt") > 0, F.col("_d")).alias("_d"), other.alias("_pairs_d")))
+    rows = materialize(rows.join(digests, "_d", "left").select("_id", *place, "_train", "_h", F.when(F.col("_nt") > 0, F.col("_d")).alias("_d"), other.alias("_pairs_d")))
 
     # hashes: counts of the other side's values near each value
     sizes = materialize(rows.where("_h is not null").groupBy("_h", "_train").agg(F.count(F.lit(1)).alias("_n")))
@@ -129,8 +124,32 @@ def overlap_report(records: DataFrame, max_bits: int = 4) -> DataFrame:
     e = shared.where("not _train").select("_d", F.col("_h").alias("_e"), F.col("_n").alias("_ne"), F.struct(*place).alias("_ae"))
     both = t.join(e, "_d").where(bits <= max_bits).select(F.explode(F.array("_at", "_ae")).alias("_p"), (-F.col("_nt") * F.col("_ne")).alias("_pairs")).select("_p.*", "_pairs")
 
-    cover = F.when(F.col("_pairs_d") > 0, 1.0).when(F.col("_pairs_h") > 0, 1 - F.col("_bits") / 64.0)
-    return scored.unionByName(both, allowMissingColumns=True).groupBy(F.col("_split").alias("source_split"), F.col("_k_dataset_id").alias("dataset_id")).agg(
+    return scored, both
+
+
+def _cover() -> Column:
+    """The share of a record's bits that the best matching value of the other side covers, 1 for an equal digest."""
+    return F.when(F.col("_pairs_d") > 0, 1.0).when(F.col("_pairs_h") > 0, 1 - F.col("_bits") / 64.0)
+
+
+def record_coverage(records: DataFrame, max_bits: int = 4) -> DataFrame:
+    """(record_id, source_split, dataset_id, by_digest, by_hash, coverage) of the records that occur on the other side of
+    train: how many records there have their digest, how many nearly their hash, and the share of its bits covered."""
+    scored, _ = _scored(records, max_bits)
+    out = scored.withColumn("coverage", _cover()).where("coverage is not null")
+    by_hash = F.coalesce("_pairs_h", F.lit(0)).cast("bigint").alias("by_hash")
+    return out.select(F.col("_id").alias("record_id"), F.col("_split").alias("source_split"), F.col("_k_dataset_id").alias("dataset_id"), F.col("_pairs_d").alias("by_digest"), by_hash, "coverage")
+
+
+def overlap_report(records: DataFrame, max_bits: int = 4) -> DataFrame:
+    """Per split and dataset: records, records that occur on the other side, pairs, and mean coverage of their bits.
+
+    The sides are train and held-out; a pair of `cross_split_pairs` counts once under the split and dataset of each of
+    its two records.
+    """
+    scored, both = _scored(records, max_bits)
+    cover = _cover()
+    return scored.drop("_id").unionByName(both, allowMissingColumns=True).groupBy(F.col("_split").alias("source_split"), F.col("_k_dataset_id").alias("dataset_id")).agg(
         F.count("_train").alias("records"),
         F.count(cover).alias("overlapping"),
         F.count_if(F.col("_pairs_d") > 0).alias("same_digest"),

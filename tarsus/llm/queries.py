@@ -53,6 +53,10 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(table(spark, d, "samples"))
 
 
+def p7_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.record_coverage(table(spark, d, "samples"))
+
+
 def _resolved(spark: SparkSession, d: str) -> DataFrame:
     tables = [table(spark, d, n) for n in ("taxon_overrides", "wetland_alignments")]
     return names.resolve(names.open_cases(table(spark, d, "samples"), *tables), names.reference_names(table(spark, d, "taxa"), *tables))
@@ -119,6 +123,7 @@ QUERIES = {
     "p6_neighbours": p6_neighbours,
     "p7_found": p7_found,
     "p7_report": p7_report,
+    "p7_coverage": p7_coverage,
     "p8_found": p8_found,
     "p8_items": p8_items,
     "p8_cleaned": p8_cleaned,

@@ -129,6 +129,8 @@ def test_cross_split_pairs(samples, rows):
     report = {(r.source_split, r.dataset_id): r for r in overlap.overlap_report(samples(data + data[:4])).collect()}
     assert report["validation", "d"].overlapping == 1 and report["test", "d"].records == 3 and report["test", "d"].overlapping == 2
     assert report["test", "d"].same_digest == 1 and report["test", "d"].mean_coverage == 1.0
+    cover = {r.record_id: (r.by_digest, r.by_hash, r.coverage) for r in overlap.record_coverage(samples(data + data[:4])).collect()}
+    assert cover == {1: (0, 2, 1.0), 2: (0, 1, 1 - 2 / 64), 4: (1, 0, 1.0), 5: (1, 0, 1.0), 6: (0, 1, 1.0)}
 
 
 def test_pairs_against_brute_force(samples):
