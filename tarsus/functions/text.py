@@ -91,11 +91,16 @@ def capitalized(c: Column) -> Column:
     return F.concat(F.upper(F.left(c, F.lit(1))), F.lower(F.substring(c, 2, 1 << 30)))
 
 
+#: The licences that allow training, as their words without a version.
+OPEN_LICENCES = ("cc0", "pd", "public domain", "gfdl", "cc by", "cc by nc", "cc by sa", "cc by nc sa")
+
+
 def open_licence(c: Column) -> Column:
-    """FIL3: public domain or Creative Commons without a no-derivatives clause; anything else, and null, is not open."""
-    plain = F.regexp_replace(F.lower(F.regexp_replace(F.regexp_replace(c, "_", "-"), _EDGES, "")), r"\s+", " ")
-    compact = F.replace(plain, F.lit(" "), F.lit("-"))
-    barred = c.contains("©") | plain.contains("no derivatives") | compact.rlike("-nd|nd$")
-    # fixed values: the accepted licences
-    accepted = compact.rlike(r"^(cc0|pd|public-domain|gfdl)(-[0-9]+(\.[0-9]+)?)?$") | compact.rlike(r"^cc-by(-nc)?(-sa)?(-[0-9]+(\.[0-9]+)?)?$")
-    return F.coalesce(accepted & ~barred, F.lit(False))
+    """FIL3: whether a licence is one of OPEN_LICENCES in any version; anything more in it, a sign or a clause, closes it.
+
+    Words are parted by blanks, hyphens or underscores. Null and blank are not open.
+    """
+    words = F.split(F.regexp_replace(F.regexp_replace(F.lower(c), _EDGES, ""), r"\s+", " "), "[ _-]")
+    numbered = F.element_at(words, -1).rlike(r"^\d+(\.\d+)?$")
+    named = F.when(numbered, F.slice(words, F.lit(1), F.size(words) - 1)).otherwise(words)
+    return F.coalesce(F.array_join(named, " ").isin(*OPEN_LICENCES), F.lit(False))

@@ -134,17 +134,38 @@ def field_types(results: DataFrame, aliases: dict[str, str]) -> dict[str, str]:
     return {p: one.get(next(iter(k)), "string") if len(k) == 1 else "string" for p, k in sorted(seen.items())}
 
 
+def _canonical(results: DataFrame, aliases: dict[str, str]) -> DataFrame:
+    """One row per result and canonical path held: `cells`, its (path, value) pairs in the order of preference: the
+    canonical name before the others."""
+    once = results.where("result_id is not null").dropDuplicates(["result_id"])
+    long = fields_of(once, ("result_id", "stream_id", "file_no"), values=True).withColumn("_from", F.concat_ws(".", "parent", "field"))
+    to = F.coalesce(F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])[F.col("_from")], F.col("_from")) if aliases else F.col("_from")
+    cell = F.struct((F.col("_from") != F.col("_p")).alias("other"), F.col("_from").alias("path"), "value")
+    held = long.withColumn("_p", to).groupBy("result_id", "stream_id", "file_no", "_p")
+    return held.agg(F.array_sort(F.collect_set(cell)).alias("cells"))  # the names of one field
+
+
+def collisions(results: DataFrame) -> DataFrame:
+    """(result_id, stream_id, file_no, field_path, used, left_out): results that hold a field under several of its names
+    with different values. The table uses the canonical name's; what it leaves out is reported here."""
+    cells = _canonical(results, alias_table(changes(results))).where(F.size("cells") > 1)
+    show = lambda c: F.concat(c["path"], F.lit("="), c["value"])
+    first = F.get("cells", F.lit(0))
+    out = cells.withColumn("_out", F.filter(F.slice("cells", 2, F.size("cells")), lambda c: c["value"] != first["value"])).where(F.size("_out") > 0)
+    return out.select("result_id", "stream_id", "file_no", F.col("_p").alias("field_path"), show(first).alias("used"), F.transform("_out", show).alias("left_out"))
+
+
 def consistent_table(results: DataFrame) -> DataFrame:
     """(result_id, stream_id, file_no, one column per canonical field): every readable result, once, under one schema.
 
-    The casts are generated from the alias table and the catalogue of kinds; a field that changed its type is text.
+    The casts are generated from the alias table and the catalogue of kinds; a field that changed its type is text. A
+    result that holds a field under several names gives the value of the canonical name, or of the first name in
+    alphabetical order; `collisions` reports the others.
     """
     once = results.where("result_id is not null").dropDuplicates(["result_id"])
     aliases = alias_table(changes(results))
     types = field_types(results, aliases)
-    long = fields_of(once, ("result_id", "stream_id", "file_no"), values=True).withColumn("_p", F.concat_ws(".", "parent", "field"))
-    if aliases:
-        long = long.withColumn("_p", F.coalesce(F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])[F.col("_p")], F.col("_p")))
+    held = _canonical(results, aliases).select("result_id", "_p", F.get("cells", F.lit(0))["value"].alias("value"))
     cells = [F.max(F.when(F.col("_p") == p, F.col("value"))).try_cast(t).alias(p.replace(".", "__")) for p, t in types.items()]
-    held = long.groupBy("result_id").agg(*cells) if cells else long.select("result_id").distinct()
-    return once.select("result_id", "stream_id", "file_no").join(held, "result_id", "left")
+    wide = held.groupBy("result_id").agg(*cells) if cells else held.select("result_id").distinct()
+    return once.select("result_id", "stream_id", "file_no").join(wide, "result_id", "left")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tarsus.runtime import materialize
+
 
 def split_score(seed: str, key: Column) -> Column:
     """HSH2: SHA-256 of seed, NUL, key."""
@@ -13,9 +15,15 @@ def split_score(seed: str, key: Column) -> Column:
 
 
 def stratified_split(rows: DataFrame, cls: str, key: str, per_class: int, seed: str, tie: str | None = None) -> DataFrame:
-    """WN2, WN3: the first per_class rows of each class by hash are validation, the others fit."""
+    """WN2, WN3: the first per_class rows of each class by hash are validation, the others fit.
+
+    The first ones are taken by a limit per group, which every task applies before the shuffle, and joined back by class
+    and key; no class is sorted as a whole. A row without a class or key is fit.
+    """
     w = W.partitionBy(cls).orderBy(split_score(seed, F.col(key)), tie or key)
-    return rows.withColumn("part", F.when(F.row_number().over(w) <= per_class, "validation").otherwise("fit"))
+    taken = rows.select(*dict.fromkeys([cls, key, *([tie] if tie else [])])).where(F.col(cls).isNotNull() & F.col(key).isNotNull())
+    taken = taken.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_class).select(cls, key, F.lit(True).alias("_taken"))
+    return rows.join(taken, [cls, key], "left").withColumn("part", F.when(F.col("_taken"), "validation").otherwise("fit")).select(*rows.columns, "part")
 
 
 def short_classes(rows: DataFrame, cls: str, per_class: int) -> DataFrame:
@@ -48,10 +56,24 @@ def local_labels(rows: DataFrame, taxon: str, out: str = "local_label") -> DataF
     return rows.join(ranked, taxon, "left")
 
 
+def numbered(rows: DataFrame, *order: str, out: str = "position") -> DataFrame:
+    """Rows with their place from 0 in the order of columns that tell them apart: ranges of the order, sorted each on its
+    own, after the sizes of the ranges before. One number a range comes to the driver."""
+    ranged = materialize(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = dict(map(tuple, ranged.groupBy("_range").agg(F.count(F.lit(1))).collect()))
+    starts, at = [], 0
+    for i in range(max(sizes, default=-1) + 1):
+        starts.append(at)
+        at += sizes.get(i, 0)
+    place = F.row_number().over(W.partitionBy("_range").orderBy(*order)) - 1
+    start = F.get(F.lit(starts or [0]), F.col("_range"))
+    return ranged.withColumn(out, (start + place).cast("bigint")).drop("_range")
+
+
 def refit_rows(parts: list[tuple[str, DataFrame]], taxon: str, index: str, dropped: DataFrame | None = None) -> DataFrame:
     """WN7, SET5: rows of several splits as one, with labels over the union of their taxa and a running row number.
 
-    `dropped` (part, index) rows are left out first. Offsets are the sizes of the splits before.
+    `dropped` (part, index) rows are left out first. The number runs through the splits in their order, by index.
     """
     union = None
     for n, (name, df) in enumerate(parts):
@@ -59,11 +81,7 @@ def refit_rows(parts: list[tuple[str, DataFrame]], taxon: str, index: str, dropp
         union = one if union is None else union.unionByName(one)
     if dropped is not None:
         union = union.join(dropped, ["part", index], "left_anti")
-    labelled = local_labels(union, taxon, "label")
-    sizes = labelled.groupBy("part_no").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = sizes.withColumn("_offset", F.coalesce(F.sum("_n").over(W.partitionBy(F.lit(1)).orderBy("part_no").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    place = F.row_number().over(W.partitionBy("part_no").orderBy(index)) - 1
-    return labelled.withColumn("_place", place).join(sizes, "part_no").withColumn("position", F.col("_offset") + F.col("_place")).drop("_n", "_offset", "_place")
+    return numbered(local_labels(union, taxon, "label"), "part_no", index)
 
 
 def balanced_draws(rows: DataFrame, cls: str, key: str, draws: int, seed: str) -> DataFrame:

@@ -35,8 +35,29 @@ def scores(images: DataFrame, prototypes: DataFrame, image: str = "vec_id", vect
     return joined.select(*[c for c in images.columns if c != vector], F.posexplode(each).alias("position", "_s")).select("*", "_s.*").drop("_s")
 
 
+def score_arrays(images: DataFrame, prototypes: DataFrame, vector: str = "embedding", cls: str = "class_id") -> DataFrame:
+    """JN11, WN1 without a shuffle: an image's row with `ranked`, its classes by descending score, ties by their place
+    in the class table: (score, position, class)."""
+    table = prototypes.agg(F.array_sort(F.collect_list(F.struct(F.col(cls), F.col("prototype")))).alias("_protos"))  # as many as classes
+    each = F.transform("_protos", lambda p, i: F.struct((-dot(F.col(vector), p["prototype"])).alias("_down"), i.alias("position"), p[cls].alias(cls)))
+    joined = images.crossJoin(F.broadcast(table)).withColumn("_s", F.array_sort(each))
+    scored = F.transform("_s", lambda s: F.struct((-s["_down"]).alias("score"), s["position"].alias("position"), s[cls].alias(cls)))
+    return joined.select(*[c for c in images.columns if c != vector], scored.alias("ranked"))
+
+
+def exploded(arrays: DataFrame) -> DataFrame:
+    """Long rows of `score_arrays`: a class each, with its rank from 1."""
+    rest = [c for c in arrays.columns if c != "ranked"]
+    return arrays.select(*rest, F.posexplode("ranked").alias("_r", "_s")).select(*rest, "_s.*", (F.col("_r") + 1).alias("rank"))
+
+
+def first_classes(arrays: DataFrame, k: int, out: str = "ranking", cls: str = "class_id") -> DataFrame:
+    """TK1, TK2 without a shuffle: the first k classes of every image."""
+    return arrays.withColumn(out, F.transform(F.slice("ranked", 1, k), lambda s: s[cls])).drop("ranked")
+
+
 def ranked(scored: DataFrame, image: str = "vec_id", score: str = "score", position: str = "position") -> DataFrame:
-    """WN1: rank from 1 by descending score, ties by the column position, never by the class id."""
+    """WN1 over long rows: rank from 1 by descending score, ties by the column position, never by the class id."""
     return scored.withColumn("rank", F.row_number().over(W.partitionBy(image).orderBy(F.desc(score), position)))
 
 

@@ -10,10 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarsus.runtime import ship
+from tarsus.functions.vectors import combine, cross_entropy, dot
+from tarsus.runtime import materialize, ship
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -37,52 +39,63 @@ def fit_head(x: np.ndarray, y: np.ndarray, classes: int, rate: float, decay: flo
     return w, b
 
 
-def grid_search(rows: DataFrame, trials: DataFrame, label: str = "label", vector: str = "embedding", part: str = "part", epochs: int = 60, rows_per_class: int = 512) -> DataFrame:
-    """TRN1: every (rate, decay) trial fitted on its own worker; top-1 and loss on the validation rows.
+#: The grid of rates and decays, and the weights of the residual.
+RATES, DECAYS, ALPHAS = (1e-3, 3e-3, 1e-2), (0.0, 1e-4, 1e-3, 1e-2), (0.0, 0.25, 0.5, 0.75, 1.0, 1.5, 2.0)
 
-    rows: part fit or validation, label from 0. Fit rows beyond rows_per_class a class are left to the scoring, by the
-    hash order of their vectors, as a classifier may be fitted on a bounded sample.
-    """
-    from pyspark.sql import Window as W
 
-    ship(rows.sparkSession)
-    w = W.partitionBy(part, label).orderBy(F.xxhash64(vector))
-    bounded = rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= rows_per_class).select(F.col(label).alias("label"), F.col(vector).alias("vector"), F.col(part).alias("part"))
+def trial_table(spark: SparkSession, rates: tuple[float, ...] = RATES, decays: tuple[float, ...] = DECAYS) -> DataFrame:
+    return spark.createDataFrame([(r, w) for r in rates for w in decays], "rate double, decay double")
+
+
+def bounded_rows(rows: DataFrame, label: str, vector: str, rows_per_class: int) -> DataFrame:
+    """At most rows_per_class rows a class, by the hash order of their vectors: the sample a head may be fitted on."""
+    w = W.partitionBy(label).orderBy(F.xxhash64(vector))
+    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= rows_per_class).drop("_n")
+
+
+def fit_trials(fit: DataFrame, trials: DataFrame, label: str, vector: str, epochs: int) -> DataFrame:
+    """(rate, decay, class_id, weights, bias): a head a trial, each fitted by its own worker on the same bounded rows."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.assign(k=[np.asarray(v).tobytes() for v in group["vector"]]).sort_values(["label", "k"])
         x, y = np.stack(group["vector"].to_numpy()).astype(float), group["label"].to_numpy(int)
-        fit = (group["part"] == "fit").to_numpy()
         rate, decay = float(group["rate"].iloc[0]), float(group["decay"].iloc[0])
-        weights, bias = fit_head(x[fit], y[fit], int(y.max()) + 1, rate, decay, epochs)
-        p = softmax(x[~fit] @ weights.T + bias)
-        truth = y[~fit]
-        loss = float(-np.log(np.maximum(p[np.arange(len(truth)), truth], 1e-300)).mean())
-        return pd.DataFrame([(rate, decay, len(truth), int((p.argmax(1) == truth).sum()), loss)], columns=["rate", "decay", "total", "top1_correct", "loss"])
+        weights, bias = fit_head(x, y, int(y.max()) + 1, rate, decay, epochs)
+        return pd.DataFrame({"rate": rate, "decay": decay, "class_id": np.arange(len(bias)), "weights": list(weights), "bias": bias})
 
-    return bounded.crossJoin(F.broadcast(trials.select("rate", "decay"))).groupBy("rate", "decay").applyInPandas(run, "rate double, decay double, total bigint, top1_correct bigint, loss double")
+    rows = fit.select(F.col(label).alias("label"), F.col(vector).alias("vector")).crossJoin(F.broadcast(trials.select("rate", "decay")))
+    return rows.groupBy("rate", "decay").applyInPandas(run, "rate double, decay double, class_id int, weights array<double>, bias double")
 
 
-def refit(rows: DataFrame, rate: float, decay: float, label: str = "label", vector: str = "embedding", epochs: int = 60, rows_per_class: int = 512) -> DataFrame:
-    """TRN2: weights of a head fitted on all parts: one row a class."""
-    from pyspark.sql import Window as W
+def grid_search(
+    rows: DataFrame, trials: DataFrame, label: str = "label", vector: str = "embedding", part: str = "part", epochs: int = 200, rows_per_class: int = 512, alphas: tuple[float, ...] = (1.0,), base: str | None = None
+) -> DataFrame:
+    """TRN1: (rate, decay, alpha, total, top1_correct, loss) of every trial, scored on every validation row.
 
+    rows: part fit or validation, label from 0. A head is fitted on at most rows_per_class fit rows a class; the bound
+    touches no other row. Scores are base + alpha * head, where `base` names an array column of scores (zeros without
+    one). Labels that no fit row has count as wrong and leave the loss null.
+    """
     ship(rows.sparkSession)
-    w = W.partitionBy(label).orderBy(F.xxhash64(vector))
-    bounded = rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= rows_per_class).select(F.col(label).alias("label"), F.col(vector).alias("vector"))
+    heads = materialize(fit_trials(bounded_rows(rows.where(F.col(part) == "fit"), label, vector, rows_per_class), trials, label, vector, epochs))
+    packed = heads.groupBy("rate", "decay").agg(F.array_sort(F.collect_list(F.struct("class_id", "weights", "bias"))).alias("_h"))  # one entry a class
+    asked = rows.where(F.col(part) == "validation").select(F.col(label).cast("int").alias("_y"), F.col(vector).alias("_v"), (F.col(base) if base else F.lit(None)).cast("array<double>").alias("_b"))
+    head = asked.crossJoin(F.broadcast(packed)).withColumn("_s", F.transform("_h", lambda h: dot(F.col("_v"), h["weights"]) + h["bias"]))
+    each = head.withColumn("alpha", F.explode(F.lit(list(alphas)))).withColumn("_s", F.when(F.col("_b").isNull(), F.transform("_s", lambda x: x * F.col("alpha"))).otherwise(combine(F.col("_b"), F.col("_s"), F.col("alpha"))))
+    first = F.array_position("_s", F.array_max("_s")) - 1
+    scored = each.select("rate", "decay", "alpha", (first == F.col("_y")).alias("_hit"), cross_entropy(F.col("_s"), F.col("_y")).alias("_loss"))
+    return scored.groupBy("rate", "decay", "alpha").agg(F.count(F.lit(1)).alias("total"), F.count_if("_hit").alias("top1_correct"), F.avg("_loss").alias("loss"))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.assign(k=[v.tobytes() for v in group["vector"]]).sort_values(["label", "k"])
-        x, y = np.stack(group["vector"].to_numpy()).astype(float), group["label"].to_numpy(int)
-        weights, bias = fit_head(x, y, int(y.max()) + 1, rate, decay, epochs)
-        return pd.DataFrame({"class_id": np.arange(len(bias)), "weights": list(weights), "bias": bias})
 
-    return bounded.groupBy(F.lit(1).alias("_one")).applyInPandas(run, "class_id int, weights array<double>, bias double")
+def refit(rows: DataFrame, rate: float, decay: float, label: str = "label", vector: str = "embedding", epochs: int = 60, rows_per_class: int = 512) -> DataFrame:
+    """TRN2: weights of a head fitted on all parts: one row a class."""
+    ship(rows.sparkSession)
+    trial = rows.sparkSession.createDataFrame([(rate, decay)], "rate double, decay double")
+    return fit_trials(bounded_rows(rows, label, vector, rows_per_class), trial, label, vector, epochs).select("class_id", "weights", "bias")
 
 
 def apply_head(rows: DataFrame, head: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
     """TRN3: (key, class_id, logit) of every row under a head, whose classes travel as one broadcast row."""
-    from tarsus.functions.vectors import dot
-
     packed = head.agg(F.array_sort(F.collect_list(F.struct("class_id", "weights", "bias"))).alias("_h"))
     scored = F.transform("_h", lambda h: F.struct(h["class_id"].alias("class_id"), (dot(F.col(vector), h["weights"]) + h["bias"]).alias("logit")))
     return rows.crossJoin(F.broadcast(packed)).select(key, F.explode(scored).alias("_s")).select(key, "_s.*")
@@ -124,8 +137,6 @@ def membership(rows: DataFrame, task: str, key: str) -> DataFrame:
 def prepared_tasks(rows: DataFrame, dataset: str, split: str, taxon: str, validation_taxa: DataFrame, excluded: DataFrame) -> DataFrame:
     """TRN7: rows of each dataset by role: train rows of training taxa fit, validation rows of held-out taxa validate,
     and both refit; excluded taxa take no part, and a role with fewer than two taxa in a dataset is omitted."""
-    from pyspark.sql import Window as W
-
     kept = rows.where(F.col(taxon).isNotNull()).join(excluded.select(taxon), taxon, "left_anti")
     kept = kept.join(validation_taxa.select(taxon, F.lit(True).alias("_held")), taxon, "left").withColumn("_held", F.coalesce("_held", F.lit(False)))
     roles = F.array_compact(F.array(F.when((F.col(split) == "train") & ~F.col("_held"), F.lit("fit")), F.when((F.col(split) == "validation") & F.col("_held"), F.lit("validation")), F.when(F.col(split).isin("train", "validation"), F.lit("refit"))))

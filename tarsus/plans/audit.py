@@ -31,26 +31,29 @@ clean AS (SELECT record_id, dataset_id, source_sample_id, taxon_id, raw_label, l
 """
 
 
-def samples(spark: SparkSession, d: str) -> DataFrame:
-    """The samples once each, the first arrival, with canonical split, digest, hash and group."""
+_FIELDS = {
+    "split": ("source_split", fields.split_name), "digest": ("sha256", fields.digest256), "hash": ("phash", fields.hash64), "grp": ("group_id", fields.group_key),
+}
+
+
+def samples(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The samples once each, the first arrival, with these columns of it: split, digest, hash and grp in canonical form,
+    any other as it came. Only what is asked for is read and shuffled; arrivals fold before the shuffle."""
     s = table(spark, d, "samples")
-    first = s.groupBy("record_id").agg(F.min_by(F.struct(*[c for c in s.columns if c != "record_id"]), "ingested_at").alias("_r")).select("record_id", "_r.*")
-    return first.select(
-        "record_id", "dataset_id", "source_sample_id", "taxon_id", "raw_label", "license", "author", fields.split_name(F.col("source_split")).alias("split"),
-        fields.digest256(F.col("sha256")).alias("digest"), fields.hash64(F.col("phash")).alias("hash"), fields.group_key(F.col("group_id")).alias("grp"),
-    )
+    held = [(_FIELDS[c][1](F.col(_FIELDS[c][0])) if c in _FIELDS else F.col(c)).alias(c) for c in columns]
+    return s.groupBy("record_id").agg(F.min_by(F.struct(*held), "ingested_at").alias("_r")).select("record_id", "_r.*")
 
 
 @R.query("WITH " + CLEAN + "SELECT record_id, split, digest, hash_hex, grp FROM clean")
 def canonical_fields(spark: SparkSession, d: str) -> DataFrame:
     """SRC1, VAL1: canonical manifest fields of every record, once."""
-    return samples(spark, d).select("record_id", "split", "digest", F.lpad(F.lower(F.hex("hash")), 16, "0").alias("hash_hex"), "grp")
+    return samples(spark, d, "split", "digest", "hash", "grp").select("record_id", "split", "digest", F.lpad(F.lower(F.hex("hash")), 16, "0").alias("hash_hex"), "grp")
 
 
 @R.query("WITH " + CLEAN + ", ex AS (SELECT taxon_id FROM taxa WHERE ('0x' || substr(sha256('exclude|' || taxon_id), 1, 8))::BIGINT % 5 = 0) SELECT record_id, taxon_id FROM clean WHERE split = 'train' AND taxon_id IN (SELECT taxon_id FROM taxa) AND taxon_id NOT IN (SELECT taxon_id FROM ex)")
 def split_view(spark: SparkSession, d: str) -> DataFrame:
     """FIL1, JN15."""
-    return manifest.split_view(samples(spark, d), "train", table(spark, d, "taxa"), _excluded(spark, d), "split").select("record_id", "taxon_id")
+    return manifest.split_view(samples(spark, d, "split", "taxon_id"), "train", table(spark, d, "taxa"), _excluded(spark, d), "split").select("record_id", "taxon_id")
 
 
 def _excluded(spark: SparkSession, d: str) -> DataFrame:
@@ -64,13 +67,14 @@ EXCLUDED = "ex AS (SELECT taxon_id FROM taxa WHERE ('0x' || substr(sha256('exclu
 @R.query("WITH " + CLEAN + ", " + EXCLUDED + " SELECT record_id, dense_rank() OVER (ORDER BY taxon_id) - 1 AS task_label FROM clean WHERE taxon_id IS NOT NULL AND taxon_id NOT IN (SELECT taxon_id FROM ex)")
 def compact_labels(spark: SparkSession, d: str) -> DataFrame:
     """FIL2, WN6."""
-    rows = samples(spark, d).where("taxon_id is not null").withColumn("source_label", F.col("taxon_id"))
+    rows = samples(spark, d, "taxon_id").where("taxon_id is not null").withColumn("source_label", F.col("taxon_id"))
     return manifest.compact_task(rows, "source_label", "taxon_id", _excluded(spark, d)).select("record_id", F.col("task_label").cast("bigint").alias("task_label"))
 
 
 @R.query(
-    """WITH l AS (SELECT DISTINCT license, trim(regexp_replace(replace(lower(license), '_', '-'), '\\s+', ' ', 'g')) AS p FROM samples WHERE license IS NOT NULL), c AS (SELECT *, replace(p, ' ', '-') AS k FROM l)
-SELECT license, (regexp_full_match(k, '(cc0|pd|public-domain|gfdl)(-[0-9]+(\\.[0-9]+)?)?') OR regexp_full_match(k, 'cc-by(-nc)?(-sa)?(-[0-9]+(\\.[0-9]+)?)?')) AND NOT contains(license, '©') AND NOT contains(p, 'no derivatives') AND NOT contains(k, '-nd') AND NOT suffix(k, 'nd') AS open FROM c"""
+    f"""WITH l AS (SELECT license, string_split_regex(trim(regexp_replace(lower(license), '\\s+', ' ', 'g')), '[ _-]') AS w FROM (SELECT DISTINCT license FROM samples WHERE license IS NOT NULL)),
+n AS (SELECT license, CASE WHEN regexp_full_match(w[-1], '[0-9]+([.][0-9]+)?') THEN w[:len(w) - 1] ELSE w END AS w FROM l)
+SELECT license, coalesce(array_to_string(w, ' '), '') IN {text.OPEN_LICENCES} AS open FROM n"""
 )
 def open_licences(spark: SparkSession, d: str) -> DataFrame:
     """FIL3."""
@@ -80,7 +84,7 @@ def open_licences(spark: SparkSession, d: str) -> DataFrame:
 @R.query("WITH " + CLEAN + ", " + EXCLUDED + " SELECT dataset_id, split, count(*) FILTER (ex.taxon_id IS NOT NULL) AS excluded, count(*) FILTER (ex.taxon_id IS NULL) AS retained, count(DISTINCT c.taxon_id) FILTER (ex.taxon_id IS NOT NULL) AS excluded_taxa, count(DISTINCT c.taxon_id) FILTER (ex.taxon_id IS NULL) AS retained_taxa FROM clean c LEFT JOIN ex ON ex.taxon_id = c.taxon_id GROUP BY dataset_id, split")
 def exclusion_audit(spark: SparkSession, d: str) -> DataFrame:
     """FIL7, AG23."""
-    return manifest.exclusion_audit(samples(spark, d), _excluded(spark, d), "taxon_id", "dataset_id", "split")
+    return manifest.exclusion_audit(samples(spark, d, "dataset_id", "split", "taxon_id"), _excluded(spark, d), "taxon_id", "dataset_id", "split")
 
 
 @R.query("SELECT user_id, count(*) AS sampled FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame FROM events) WHERE frame % 10 = 3 GROUP BY user_id")
@@ -110,7 +114,7 @@ def annotation_coverage(spark: SparkSession, d: str) -> DataFrame:
 @R.query("WITH " + CLEAN + "SELECT dataset_id, split, count(*) AS rows FROM clean GROUP BY ALL")
 def split_counts(spark: SparkSession, d: str) -> DataFrame:
     """AG13, VAL2."""
-    return manifest.group_counts(samples(spark, d), "dataset_id", "split")
+    return manifest.group_counts(samples(spark, d, "dataset_id", "split"), "dataset_id", "split")
 
 
 @R.query("SELECT l_returnflag, l_linestatus, count(*) AS rows FROM lineitem WHERE l_returnflag <> l_linestatus GROUP BY ALL")
@@ -122,7 +126,7 @@ def flag_mismatches(spark: SparkSession, d: str) -> DataFrame:
 @R.query("WITH " + CLEAN + "SELECT dataset_id, count(*) AS records, count(DISTINCT taxon_id) AS taxa, count(DISTINCT grp) AS groups, count(DISTINCT (dataset_id, source_sample_id)) AS images FROM clean GROUP BY dataset_id")
 def distinct_counts(spark: SparkSession, d: str) -> DataFrame:
     """AG15."""
-    return samples(spark, d).groupBy("dataset_id").agg(F.count(F.lit(1)).alias("records"), F.count_distinct("taxon_id").alias("taxa"), F.count_distinct("grp").alias("groups"), F.count_distinct("source_sample_id").alias("images"))
+    return samples(spark, d, "dataset_id", "taxon_id", "grp", "source_sample_id").groupBy("dataset_id").agg(F.count(F.lit(1)).alias("records"), F.count_distinct("taxon_id").alias("taxa"), F.count_distinct("grp").alias("groups"), F.count_distinct("source_sample_id").alias("images"))
 
 
 _DUP = """, g AS (SELECT digest, count(*) AS copies, count(DISTINCT dataset_id) AS datasets, arg_min(dataset_id, (dataset_id, record_id)) AS canonical_dataset, count(DISTINCT taxon_id) > 1 AS taxon_conflict FROM clean WHERE digest IS NOT NULL GROUP BY digest HAVING count(DISTINCT dataset_id) > 1)
@@ -133,20 +137,20 @@ _DUP = """, g AS (SELECT digest, count(*) AS copies, count(DISTINCT dataset_id)
 def exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
     """AG16, WN8: exact copies across datasets, the canonical one, and the active (train) rows of later ones that drop."""
     active = F.col("split").eqNullSafe("train")
-    a = manifest.duplicate_audit(samples(spark, d), "digest", "dataset_id", ["dataset_id", "record_id"], "taxon_id", active)
+    a = manifest.duplicate_audit(samples(spark, d, "digest", "dataset_id", "taxon_id", "split"), "digest", "dataset_id", ["dataset_id", "record_id"], "taxon_id", active)
     return a.select("record_id", "digest", "copies", "datasets", "canonical_dataset", "taxon_conflict", "drops")
 
 
 @R.query("WITH " + CLEAN + _DUP + "SELECT c.dataset_id, count(*) AS reported, count(*) FILTER ((c.split IS NOT DISTINCT FROM 'train') AND c.dataset_id <> canonical_dataset) AS dropped FROM clean c JOIN g USING (digest) GROUP BY c.dataset_id")
 def duplicate_drops(spark: SparkSession, d: str) -> DataFrame:
     """AG16, FIL11: how many rows of each dataset drop."""
-    return exact_duplicates(spark, d).join(samples(spark, d).select("record_id", "dataset_id"), "record_id").groupBy("dataset_id").agg(F.count(F.lit(1)).alias("reported"), F.count_if("drops").alias("dropped"))
+    return exact_duplicates(spark, d).join(samples(spark, d, "dataset_id").select("record_id", "dataset_id"), "record_id").groupBy("dataset_id").agg(F.count(F.lit(1)).alias("reported"), F.count_if("drops").alias("dropped"))
 
 
 @R.query("WITH " + CLEAN + "SELECT hash_hex, count(*) AS copies, count(DISTINCT dataset_id) AS datasets FROM clean WHERE hash_hex IS NOT NULL GROUP BY hash_hex HAVING count(DISTINCT dataset_id) > 1")
 def identical_hashes(spark: SparkSession, d: str) -> DataFrame:
     """AG17: equal perceptual hashes across datasets, reported only."""
-    g = samples(spark, d).where("hash is not null").groupBy("hash").agg(F.count(F.lit(1)).alias("copies"), F.count_distinct("dataset_id").alias("datasets")).where("datasets > 1")
+    g = samples(spark, d, "hash", "dataset_id").where("hash is not null").groupBy("hash").agg(F.count(F.lit(1)).alias("copies"), F.count_distinct("dataset_id").alias("datasets")).where("datasets > 1")
     return g.select(F.lpad(F.lower(F.hex("hash")), 16, "0").alias("hash_hex"), "copies", "datasets")
 
 
@@ -159,7 +163,7 @@ SELECT DISTINCT least(a.hash_hex, b.hash_hex) AS hash_a, greatest(a.hash_hex, b.
 )
 def near_hashes(spark: SparkSession, d: str) -> DataFrame:
     """JN10, HSH4: near perceptual hashes across datasets by pigeonhole chunks, at most two differing bits."""
-    p = manifest.near_pairs(samples(spark, d), "hash", "dataset_id", 2)
+    p = manifest.near_pairs(samples(spark, d, "hash", "dataset_id"), "hash", "dataset_id", 2)
     x, y = (F.lpad(F.lower(F.hex(c)), 16, "0") for c in ("value_a", "value_b"))
     return p.select(F.least(x, y).alias("hash_a"), F.greatest(x, y).alias("hash_b"), "distance")
 
@@ -167,7 +171,7 @@ def near_hashes(spark: SparkSession, d: str) -> DataFrame:
 @R.query("WITH " + CLEAN + "SELECT record_id, taxon_id FROM clean WHERE taxon_id IS NOT NULL AND taxon_id NOT IN (SELECT taxon_id FROM taxa)")
 def unknown_taxa(spark: SparkSession, d: str) -> DataFrame:
     """JN3: records whose taxon the dimension doesn't have."""
-    return manifest.unknown_keys(samples(spark, d), table(spark, d, "taxa"), "taxon_id").select("record_id", "taxon_id")
+    return manifest.unknown_keys(samples(spark, d, "taxon_id"), table(spark, d, "taxa"), "taxon_id").select("record_id", "taxon_id")
 
 
 @R.query("SELECT l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) UNION ALL SELECT l_orderkey FROM lineitem WHERE false")
@@ -191,13 +195,13 @@ def repeated_records(spark: SparkSession, d: str) -> DataFrame:
 @R.query("WITH " + CLEAN + "SELECT grp, count(DISTINCT taxon_id) AS values FROM clean WHERE grp IS NOT NULL GROUP BY grp HAVING count(DISTINCT taxon_id) > 1")
 def taxon_conflicts(spark: SparkSession, d: str) -> DataFrame:
     """AG34, VAL24: groups whose records name several taxa."""
-    return manifest.conflicting(samples(spark, d).where("grp is not null"), "grp", "taxon_id")
+    return manifest.conflicting(samples(spark, d, "grp", "taxon_id").where("grp is not null"), "grp", "taxon_id")
 
 
 @R.query("WITH " + CLEAN + """SELECT dataset_id, count(*) AS rows, count(DISTINCT taxon_id) AS taxa, (SELECT string_agg(s || '=' || n, ', ' ORDER BY s) FROM (SELECT coalesce(split, 'none') AS s, count(*) AS n FROM clean i WHERE i.dataset_id = c.dataset_id GROUP BY 1)) AS status_counts FROM clean c GROUP BY dataset_id""")
 def partition_audit(spark: SparkSession, d: str) -> DataFrame:
     """AG24, MAP1."""
-    p = manifest.partition_audit(samples(spark, d).withColumn("status", F.coalesce("split", F.lit("none"))), "dataset_id", "status", "taxon_id")
+    p = manifest.partition_audit(samples(spark, d, "dataset_id", "split", "taxon_id").withColumn("status", F.coalesce("split", F.lit("none"))), "dataset_id", "status", "taxon_id")
     return p.withColumn("status_counts", F.array_join(F.transform(F.map_entries("status_counts"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ", "))
 
 
@@ -205,7 +209,7 @@ def partition_audit(spark: SparkSession, d: str) -> DataFrame:
 def content_digests(spark: SparkSession, d: str) -> DataFrame:
     """AG25, VAL27: order-sensitive digests of row sets."""
     row = F.concat_ws("|", F.col("record_id").cast("string"), F.coalesce("taxon_id", F.lit("")), F.coalesce("digest", F.lit("")))
-    return manifest.content_digest(samples(spark, d), ["dataset_id"], "record_id", row)
+    return manifest.content_digest(samples(spark, d, "dataset_id", "taxon_id", "digest"), ["dataset_id"], "record_id", row)
 
 
 @R.query("SELECT label, count(DISTINCT sha256(vec_id::VARCHAR)) AS digests, count(*) AS rows FROM embeddings GROUP BY label")
@@ -240,7 +244,7 @@ SELECT part, record_id, dense_rank() OVER (ORDER BY taxon_id) - 1 AS label, row_
 )
 def refit_labels(spark: SparkSession, d: str) -> DataFrame:
     """WN7, SET5, FIL10: train and validation as one, relabelled, with running positions."""
-    s = samples(spark, d).where("taxon_id is not null")
+    s = samples(spark, d, "taxon_id", "split").where("taxon_id is not null")
     r = partitions.refit_rows([(n, s.where(F.col("split") == n)) for n in ("train", "validation")], "taxon_id", "record_id")
     return r.select("part", "record_id", F.col("label").cast("bigint").alias("label"), F.col("position").cast("bigint").alias("position"))
 
@@ -338,7 +342,7 @@ def first_occurrences(spark: SparkSession, d: str) -> DataFrame:
 @R.query("WITH " + CLEAN + "SELECT taxon_id FROM clean WHERE split = 'train' AND taxon_id IS NOT NULL INTERSECT SELECT taxon_id FROM clean WHERE split = 'test'")
 def shared_taxa(spark: SparkSession, d: str) -> DataFrame:
     """SET1, SET6: taxa of both train and test; empty if the splits are disjoint by taxon."""
-    s = samples(spark, d).where("taxon_id is not null")
+    s = samples(spark, d, "taxon_id", "split").where("taxon_id is not null")
     return s.where("split = 'train'").select("taxon_id").intersect(s.where("split = 'test'").select("taxon_id"))
 
 

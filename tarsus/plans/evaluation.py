@@ -61,12 +61,16 @@ def prototypes(spark: SparkSession, d: str) -> DataFrame:
     return ranking.mean_vectors(fit.withColumnRenamed("label", "class_id"), ["class_id"], "embedding")
 
 
+def arrays(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.score_arrays(images(spark, d), prototypes(spark, d))
+
+
 def rankings(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.ranked(ranking.scores(images(spark, d), prototypes(spark, d)))
+    return ranking.exploded(arrays(spark, d))
 
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.ranking_arrays(rankings(spark, d), ["vec_id", "label"], K, "candidates")
+    return ranking.first_classes(arrays(spark, d).select("vec_id", "label", "ranked"), K, "candidates")
 
 
 def reranked(spark: SparkSession, d: str, base: DataFrame | None = None) -> DataFrame:
@@ -113,7 +117,7 @@ def topk_candidates(spark: SparkSession, d: str) -> DataFrame:
 @R.query("WITH " + SCORED + "SELECT vec_id, min(rank) FILTER (class_id = label) <= 1 AS hit1, min(rank) FILTER (class_id = label) <= 5 AS hit5, min(rank) FILTER (class_id = label) AS target_rank FROM ranks GROUP BY vec_id")
 def hit_mask(spark: SparkSession, d: str) -> DataFrame:
     """AG2, WN9, ARR1."""
-    r = ranking.ranking_arrays(rankings(spark, d), ["vec_id", "label"], 10)
+    r = ranking.first_classes(arrays(spark, d).select("vec_id", "label", "ranked"), 10)
     return r.select("vec_id", ranking.hit(F.col("ranking"), F.col("label"), 1).alias("hit1"), ranking.hit(F.col("ranking"), F.col("label"), 5).alias("hit5"), ranking.target_rank(F.col("ranking"), F.col("label")).cast("bigint").alias("target_rank"))
 
 
@@ -321,9 +325,9 @@ rows_ AS (SELECT *, list_max(l) + ln(list_sum([exp(x - list_max(l)) FOR x IN l])
 
 
 def _task_rows(spark: SparkSession, d: str) -> DataFrame:
-    r = rankings(spark, d)
-    packed = r.groupBy("vec_id", "label").agg(F.array_sort(F.collect_list(F.struct("position", "score"))).alias("_s"), F.max((F.col("class_id") == F.col("label")) & (F.col("rank") == 1)).alias("correct"), F.max(F.when(F.col("class_id") == F.col("label"), F.col("position"))).alias("_at"))
-    return packed.select((F.col("vec_id") % 4).alias("task"), "vec_id", "label", "correct", cross_entropy(F.transform("_s", lambda s: 20 * s["score"]), F.col("_at")).alias("ce"))
+    r = arrays(spark, d).withColumn("_i", F.array_position(F.transform("ranked", lambda s: s["class_id"]), F.col("label")))
+    logits = F.transform("ranked", lambda s: 20 * s["score"])
+    return r.select((F.col("vec_id") % 4).alias("task"), "vec_id", "label", (F.col("_i") == 1).alias("correct"), cross_entropy(logits, (F.col("_i") - 1).cast("int")).alias("ce"))
 
 
 @R.query("WITH " + SCORED + _TASKS + "SELECT task, count(*) AS classes, round(100 * avg(a), 6) AS macro_accuracy, round(avg(c), 6) AS macro_loss FROM (SELECT task, label, avg(correct::INT::DOUBLE) AS a, avg(ce) AS c FROM rows_ GROUP BY task, label) GROUP BY task")

@@ -88,7 +88,13 @@ def p4_table(spark: SparkSession, d: str) -> DataFrame:
     return drift.consistent_table(table(spark, d, "run_results"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_results, p2_checks, p2_environments, p2_environment_counts, p2_artifacts, p2_nodes, p2_fields, p4_found, p4_table)}
+def p4_collisions(spark: SparkSession, d: str) -> DataFrame:
+    """Values that the table leaves out, as a result holds a field under several names."""
+    c = drift.collisions(table(spark, d, "run_results"))
+    return c.withColumn("left_out", F.array_join("left_out", ", "))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_results, p2_checks, p2_environments, p2_environment_counts, p2_artifacts, p2_nodes, p2_fields, p4_found, p4_table, p4_collisions)}
 QUERIES |= {name: _typed(kind_path) for name, kind_path in TYPES.items()}
 
 READ = """

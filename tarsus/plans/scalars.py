@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from tarsus.functions import geometry, text
 from tarsus.functions.vectors import cosine, l2_normalize, norm, stable_share
-from tarsus.operators import partitions, training
-from tarsus.plans import audit
+from tarsus.operators import nested, partitions, training
+from tarsus.plans import audit, problems
 from tarsus.plans.registry import Registry
 from tarsus.runtime import table
 
@@ -135,12 +135,17 @@ def integral_numbers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", (F.floor(v) == v).alias("integral"), F.col("c_name").rlike("^[A-Za-z0-9][A-Za-z0-9._#-]*$").alias("named"))
 
 
-@R.query("SELECT result_id, regexp_full_match(json_extract_string(payload, '$.created_at_utc'), '[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}[+]00:00') AS valid FROM (SELECT DISTINCT result_id, payload FROM run_results WHERE payload LIKE '{%' AND json_valid(payload))")
+@R.query(
+    "WITH "
+    + problems.READ
+    + " SELECT result_id, regexp_full_match(json_extract_string(j, '$.created_at_utc'), '[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}[+]00:00') AS valid FROM (SELECT DISTINCT result_id, j::VARCHAR AS j FROM readable WHERE json_type(j) = 'OBJECT')"
+)
 def timestamp_strings(spark: SparkSession, d: str) -> DataFrame:
-    """DAT1: timestamps are validated as text, as nothing computes with them."""
-    r = table(spark, d, "run_results").select("result_id", "payload").distinct().where(F.col("payload").startswith("{"))
-    v = r.where(F.try_parse_json("payload").isNotNull())
-    return v.select("result_id", F.get_json_object("payload", "$.created_at_utc").rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\+00:00$").alias("valid"))
+    """DAT1: timestamps are validated as text, as nothing computes with them; padded, marked and wrapped payloads too."""
+    stamps = nested.label_nodes(table(spark, d, "run_results")).where("node_path in ('', 'created_at_utc')")
+    root, stamp = F.max(F.when(F.col("node_path") == "", F.col("kind"))), F.max(F.when(F.col("node_path") == "created_at_utc", F.col("value")))
+    each = stamps.groupBy("result_id").agg(root.alias("_k"), stamp.alias("_v")).where("_k = 'object'")
+    return each.select("result_id", F.col("_v").rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\+00:00$").alias("valid"))
 
 
 @R.query("SELECT taxon_id, t AS template, CASE t WHEN 0 THEN 'A photo of a ' || upper(common_name[1]) || lower(common_name[2:]) || '.' ELSE upper(scientific_name[1]) || lower(scientific_name[2:]) || ', a bird.' END AS prompt FROM taxa, range(2) r(t)")
@@ -175,9 +180,8 @@ def _parts(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query()
 def head_grid_search(spark: SparkSession, d: str) -> DataFrame:
-    """TRN1: iterative training, held to its held-out accuracy in the tests."""
-    trials = spark.createDataFrame([(r, w) for r in (0.01, 0.1) for w in (0.0, 0.01)], "rate double, decay double")
-    return training.grid_search(_parts(spark, d), trials).withColumn("loss", F.round("loss", 6))
+    """TRN1: iterative training, held to its held-out accuracy in the tests: all rates, decays and residual weights."""
+    return training.grid_search(_parts(spark, d), training.trial_table(spark), alphas=training.ALPHAS).withColumn("loss", F.round("loss", 6))
 
 
 @R.query()
@@ -208,7 +212,7 @@ SELECT dataset_id, role, count(*) AS rows, count(DISTINCT taxon_id) AS taxa FROM
 def source_tasks(spark: SparkSession, d: str) -> DataFrame:
     """TRN7, AG24: roles of every dataset's rows."""
     held = table(spark, d, "taxa").where(stable_share(F.col("taxon_id"), "held") % 4 == 0)
-    t = training.prepared_tasks(audit.samples(spark, d), "dataset_id", "split", "taxon_id", held, audit._excluded(spark, d))
+    t = training.prepared_tasks(audit.samples(spark, d, "dataset_id", "split", "taxon_id"), "dataset_id", "split", "taxon_id", held, audit._excluded(spark, d))
     return t.groupBy("dataset_id", "role").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("taxon_id").alias("taxa"))
 
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import glob
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_LINE = 65_536
+POLICIES = ("strict", "skip", "report")
 TAXA = "taxon_id string, scientific_name string, common_name string, taxonomy_source string, taxonomy_version string"
 SAMPLES = "dataset_id string, source_sample_id string, source_split string, relative_path string, image_uri string, group_id string, raw_label string, taxon_id string, sha256 string, phash string, license string, author string, source string"
 PREDICTIONS = (
@@ -18,9 +17,12 @@ PREDICTIONS = (
 
 
 def guarded(df: DataFrame, broken: Column, message: str) -> DataFrame:
-    """The rows; reading a broken one fails the query with the message."""
-    first = df.columns[0]
-    return df.withColumn(first, F.when(F.coalesce(broken, F.lit(True)), F.raise_error(F.lit(message)).cast(df.schema[first].dataType)).otherwise(F.col(first)))
+    """The rows; reading a broken one fails the query with the message, whatever columns are read.
+
+    The check is a filter that every row passes or fails loudly, so that no pruning of columns takes it away.
+    """
+    fails = F.raise_error(F.lit(message)).cast("boolean")
+    return df.where(F.when(F.coalesce(broken, F.lit(True)), fails).otherwise(F.lit(True)))
 
 
 def require_rows(df: DataFrame, what: str) -> DataFrame:
@@ -152,20 +154,24 @@ def missing_pairs(pairs: DataFrame, classes: int) -> DataFrame:
     return every.join(pairs.select("first_id", "second_id"), ["first_id", "second_id"], "left_anti")
 
 
-def only_match(pattern: str) -> str:
-    """SRC29: the one path that a pattern matches."""
-    found = sorted(glob.glob(pattern))
+def only_match(spark: SparkSession, pattern: str) -> str:
+    """SRC29: the one path that a pattern matches, on whatever file system the pattern names."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = [str(f.getPath()) for f in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []]
     if len(found) != 1:
         raise ValueError(f"{pattern} matches {len(found)} paths")
     return found[0]
 
 
 def source_configs(rows: list[dict]) -> tuple[list[dict], list[dict]]:
-    """SRC30, VAL6, VAL8: enabled and disabled source rows; keys, unique ids and at least one enabled are checked."""
-    keys = {"dataset_id", "path", "enabled"}
+    """SRC30, VAL6, VAL8: enabled and disabled source rows; keys, unique ids, at least one enabled, the reading policy
+    and the number of workers, 0 to 8, are checked."""
+    keys = {"dataset_id", "path", "enabled", "policy", "workers"}
     for r in rows:
         if not {"dataset_id", "path"} <= set(r) <= keys:
             raise ValueError(f"a source row has the keys {sorted(r)}")
+        if r.get("policy", "strict") not in POLICIES or type(r.get("workers", 0)) is not int or not 0 <= r.get("workers", 0) <= 8:
+            raise ValueError(f"source {r['dataset_id']}: policy {r.get('policy')!r}, workers {r.get('workers')!r}")
     if len({r["dataset_id"] for r in rows}) != len(rows):
         raise ValueError("a dataset id is repeated")
     on = [r for r in rows if r.get("enabled", True)]

@@ -182,6 +182,10 @@ def test_grid_search_separates(spark):
     trials = spark.createDataFrame([(0.1, 0.0), (0.01, 0.01)], "rate double, decay double")
     got = training.grid_search(df, trials).orderBy(F.desc("rate")).first()
     assert got.total == 15 and got.top1_correct == 15
+    few = training.grid_search(df, trials, rows_per_class=2, alphas=(0.0, 1.0)).collect()  # bounds the fit, never the scoring
+    assert len(few) == 4 and {r.total for r in few} == {15} and {round(r.loss, 6) for r in few if r.alpha == 0} == {round(float(np.log(5)), 6)}
+    based = df.withColumn("scores", F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: (i == (F.col("label") + 1) % 5).cast("double")))
+    assert {r.top1_correct for r in training.grid_search(based, trials, alphas=(0.0,), base="scores").collect()} == {0}
     head = training.refit(df, 0.1, 0.0)
     logits = training.apply_head(df.withColumn("k", F.monotonically_increasing_id()), head, "k")
     assert logits.count() == 60 * 5

@@ -106,3 +106,14 @@ def test_one_table_with_one_type_a_field(spark):
     got = drift.consistent_table(spark.createDataFrame(data + data[:1], RESULTS))
     assert dict(got.dtypes)["checks__a"] == "string" and dict(got.dtypes)["checks__b"] == "double" and "checks__c" not in got.columns
     assert [(r.file_no, r.checks__a, r.checks__b) for r in got.orderBy("file_no").collect()] == [(1, "true", 1.0), (2, "1", 2.5), (3, None, None)]
+
+
+def test_a_result_that_holds_two_names_of_a_field_loses_nothing_in_silence(spark):
+    renamed = files([{"checks": {"a": 1}}], [{"checks": {"b": 2}}])
+    both = [(900, 8, 1, '{"checks": {"a": 5, "b": 9}}'), (901, 8, 1, '{"checks": {"a": 4, "b": 4}}')]
+    names = [c.split()[0] for c in RESULTS.split(", ")]
+    rest = [tuple({"result_id": i, "stream_id": s, "file_no": f, "payload": p}.get(n) for n in names) for i, s, f, p in both]
+    data = spark.createDataFrame(renamed + rest, RESULTS)
+    got = {r.result_id: r.checks__a for r in drift.consistent_table(data).collect()}
+    assert got[900] == 5.0 and got[901] == 4.0 and "checks__b" not in drift.consistent_table(data).columns
+    assert [tuple(r) for r in drift.collisions(data).collect()] == [(900, 8, 1, "checks.a", "checks.a=5", ["checks.b=9"])]

@@ -42,8 +42,14 @@ def test_prediction_violations(spark, rows):
 def test_indexed_text_and_classes(spark, tmp_path, rows):
     assert rows(tabular.indexed_text(spark, put(tmp_path, "i.txt", "1 a b\n2 c\n"))) == [(1, "a b"), (2, "c")]
     assert rows(tabular.class_names(spark, put(tmp_path, "c.txt", "1 001.Black_bird\n"))) == [(0, "Black bird")]
-    with pytest.raises(PySparkException):
-        tabular.indexed_text(spark, put(tmp_path, "j.txt", "only\n")).collect()
+    broken = tabular.indexed_text(spark, put(tmp_path, "j.txt", "only\n"))
+    unnamed = tabular.class_names(spark, put(tmp_path, "k.txt", "1 Bird\n"))
+    for read in (broken, broken.select("value"), broken.select(F.lit(1)), unnamed.select("name"), unnamed.select("class_id")):
+        with pytest.raises(PySparkException):
+            read.collect()
+    for read in (broken, unnamed):
+        with pytest.raises(PySparkException):
+            read.count()
 
 
 def test_csv(spark, tmp_path, rows):
@@ -74,15 +80,15 @@ def test_split_lists_and_pairs(spark, tmp_path, rows):
     assert rows(tabular.missing_pairs(p, 3)) == [(1, 2)]
 
 
-def test_globs_and_configs(tmp_path):
+def test_globs_and_configs(spark, tmp_path):
     put(tmp_path, "x1.txt", "")
-    assert tabular.only_match(str(tmp_path / "x*.txt")).endswith("x1.txt")
+    assert tabular.only_match(spark, str(tmp_path / "x*.txt")).endswith("x1.txt")
     put(tmp_path, "x2.txt", "")
     with pytest.raises(ValueError):
-        tabular.only_match(str(tmp_path / "x*.txt"))
+        tabular.only_match(spark, str(tmp_path / "x*.txt"))
     on, off = tabular.source_configs([{"dataset_id": "a", "path": "p"}, {"dataset_id": "b", "path": "p", "enabled": False}])
     assert len(on) == 1 and len(off) == 1
-    for bad in ([{"dataset_id": "a"}], [{"dataset_id": "a", "path": "p", "enabled": False}], [{"dataset_id": "a", "path": "p"}] * 2):
+    for bad in ([{"dataset_id": "a"}], [{"dataset_id": "a", "path": "p", "enabled": False}], [{"dataset_id": "a", "path": "p"}] * 2, [{"dataset_id": "a", "path": "p", "workers": 9}], [{"dataset_id": "a", "path": "p", "workers": True}], [{"dataset_id": "a", "path": "p", "policy": "x"}]):
         with pytest.raises(ValueError):
             tabular.source_configs(bad)
 
