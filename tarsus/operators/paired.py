@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from fractions import Fraction
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -70,9 +72,38 @@ def _draw(seed: int, rep: Column, i: Column, n: Column) -> Column:
     return F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("bigint") % n
 
 
-def bootstrap_gain(rows: DataFrame, delta: Column, reps: int = 10_000, seed: int = 2026, chunk: int = 16_384) -> DataFrame:
+def bootstrap_gain(rows: DataFrame, delta: Column, reps: int = 10_000, seed: int = 2026) -> DataFrame:
     """AG6, AG7: percentile interval of the mean of `delta` (in percent points) over resampled rows.
 
+    Resampled rows matter by how often each distinct value of delta is drawn, so a replicate draws these counts at once
+    from their multinomial distribution, by its own stream of the seed: its cost is that of the distinct values (three,
+    or one a class), whatever the number of rows. No rows give null limits.
+    """
+    from tarsus.runtime import ship
+
+    ship(rows.sparkSession)
+    counts = rows.where(delta.isNotNull()).groupBy(delta.cast("double").alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    table = counts.agg(F.array_sort(F.collect_list(F.struct("d", "n"))).alias("_v"), F.sum("n").alias("_n"), F.sum(F.col("d") * F.col("n")).alias("_sum"))  # one entry a distinct value
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            gains = []
+            for rep, d, n in zip(b["rep"], b["_d"], b["_c"]):
+                n = np.asarray(n, np.int64)
+                drawn = np.random.default_rng([seed, int(rep)]).multinomial(n.sum(), n / n.sum())
+                gains.append(100.0 * float(drawn @ np.asarray(d, float)) / n.sum())
+            yield pd.DataFrame({"gain": gains})
+
+    values = table.where("_n > 0").select(F.transform("_v", lambda v: v["d"]).alias("_d"), F.transform("_v", lambda v: v["n"]).alias("_c"))
+    gains = rows.sparkSession.range(reps).withColumnRenamed("id", "rep").crossJoin(F.broadcast(values)).mapInPandas(draw, "gain double")
+    limits = gains.agg(F.percentile("gain", F.array(F.lit(0.025), F.lit(0.975))).alias("_q"))
+    point = table.select(F.coalesce("_n", F.lit(0)).alias("total"), (100.0 * F.col("_sum") / F.col("_n")).alias("gain_pp"))
+    return point.crossJoin(limits).select("total", "gain_pp", F.get("_q", F.lit(0)).alias("ci_lower_pp"), F.get("_q", F.lit(1)).alias("ci_upper_pp"), F.lit(reps).alias("reps"))
+
+
+def hashed_bootstrap_gain(rows: DataFrame, delta: Column, reps: int = 10_000, seed: int = 2026, chunk: int = 16_384) -> DataFrame:
+    """The same by draws that every engine repeats, a hash a row and replicate: percentile interval of the mean of `delta` (in percent points) over resampled rows.
+
     Rows matter by their values only, so they are laid out in the order of their values and kept as cumulative counts
     of the distinct ones: three for accuracy deltas, one a class for class means. Draws come from hashes of (seed,
     replicate, place), so every engine draws alike; each replicate is cut into chunks of draws that are summed apart.

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tarsus.functions import fields, text
 from tarsus.functions.vectors import stable_share
-from tarsus.operators import manifest, partitions, resolve
+from tarsus.operators import manifest, nested, partitions, resolve, study
+from tarsus.plans import problems
 from tarsus.plans.registry import Registry
-from tarsus.runtime import table
+from tarsus.runtime import materialize, table
 
 R = Registry()
 
@@ -89,7 +90,7 @@ def exclusion_audit(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query("SELECT user_id, count(*) AS sampled FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame FROM events) WHERE frame % 10 = 3 GROUP BY user_id")
 def stride_sample(spark: SparkSession, d: str) -> DataFrame:
-    """FIL8, SRC21: every tenth frame of a video from an offset on, a user's events standing for frames."""
+    """FIL8: every tenth frame of a video from an offset on, a user's events standing for frames."""
     return _frames(spark, d).where(F.col("frame") % 10 == 3).groupBy("user_id").agg(F.count(F.lit(1)).alias("sampled"))
 
 
@@ -168,16 +169,17 @@ def near_hashes(spark: SparkSession, d: str) -> DataFrame:
     return p.select(F.least(x, y).alias("hash_a"), F.greatest(x, y).alias("hash_b"), "distance")
 
 
-@R.query("WITH " + CLEAN + "SELECT record_id, taxon_id FROM clean WHERE taxon_id IS NOT NULL AND taxon_id NOT IN (SELECT taxon_id FROM taxa)")
+@R.query("WITH " + CLEAN + "SELECT record_id, taxon_id FROM clean WHERE taxon_id IS NOT NULL AND (taxon_id NOT IN (SELECT taxon_id FROM taxa) OR taxon_id LIKE '%4')")
 def unknown_taxa(spark: SparkSession, d: str) -> DataFrame:
-    """JN3: records whose taxon the dimension doesn't have."""
-    return manifest.unknown_keys(samples(spark, d, "taxon_id"), table(spark, d, "taxa"), "taxon_id").select("record_id", "taxon_id")
+    """JN3: records whose taxon the dimension doesn't have; some species are taken out of it."""
+    return manifest.unknown_keys(samples(spark, d, "taxon_id"), table(spark, d, "taxa").where("taxon_id not like '%4'"), "taxon_id").select("record_id", "taxon_id")
 
 
-@R.query("SELECT l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) UNION ALL SELECT l_orderkey FROM lineitem WHERE false")
+@R.query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 50 <> 7)")
 def orphan_annotations(spark: SparkSession, d: str) -> DataFrame:
-    """JN2: annotations (lines) whose image (order) is missing; has to be empty."""
-    return manifest.unknown_keys(table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "k"), table(spark, d, "orders").withColumnRenamed("o_orderkey", "k"), "k").select(F.col("k").alias("l_orderkey"))
+    """JN2: annotations (lines) whose image (order) is missing; some orders are taken out."""
+    images = table(spark, d, "orders").where("o_orderkey % 50 <> 7").select(F.col("o_orderkey").alias("l_orderkey"))
+    return manifest.unknown_keys(table(spark, d, "lineitem"), images, "l_orderkey").select("l_orderkey", "l_linenumber")
 
 
 @R.query("SELECT o_orderkey AS k, CASE WHEN l.k IS NULL THEN 'missing' ELSE 'extra' END AS problem FROM orders FULL JOIN (SELECT DISTINCT l_orderkey AS k FROM lineitem) l ON l.k = o_orderkey WHERE l.k IS NULL OR o_orderkey IS NULL")
@@ -294,11 +296,12 @@ def resolution_cascade(spark: SparkSession, d: str) -> DataFrame:
     return r.select("source_species_id", "resolved", "policy")
 
 
-@R.query("SELECT override_id FROM taxon_overrides o WHERE birdnet_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM taxa t WHERE t.taxon_id = 'birdnet:' || o.birdnet_id AND t.scientific_name = o.accepted_scientific_name AND t.common_name = o.accepted_common_name)")
+@R.query("SELECT override_id FROM taxon_overrides o WHERE birdnet_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM taxa t WHERE t.taxon_id = 'birdnet:' || o.birdnet_id AND t.scientific_name = o.accepted_scientific_name AND t.common_name = CASE WHEN override_id % 5 = 0 THEN upper(o.accepted_common_name) ELSE o.accepted_common_name END)")
 def lock_violations(spark: SparkSession, d: str) -> DataFrame:
-    """JN8: locked ids that are unknown or disagree with their taxon."""
+    """JN8: locked ids that are unknown or disagree with their taxon; some names are written otherwise."""
     o = table(spark, d, "taxon_overrides").where("birdnet_id is not null")
-    rows = o.select("override_id", F.concat(F.lit("birdnet:"), "birdnet_id").alias("taxon_id"), F.col("accepted_scientific_name").alias("scientific_name"), F.col("accepted_common_name").alias("common_name"))
+    common = F.when(F.col("override_id") % 5 == 0, F.upper("accepted_common_name")).otherwise(F.col("accepted_common_name"))
+    rows = o.select("override_id", F.concat(F.lit("birdnet:"), "birdnet_id").alias("taxon_id"), F.col("accepted_scientific_name").alias("scientific_name"), common.alias("common_name"))
     return resolve.locked(rows, table(spark, d, "taxa"), "taxon_id", "scientific_name", "common_name").select("override_id")
 
 
@@ -311,18 +314,19 @@ def genus_exclusions(spark: SparkSession, d: str) -> DataFrame:
     return m.select("genus", F.size("members").cast("bigint").alias("species"), F.array_join("members", ",").alias("members"))
 
 
-@R.query("SELECT NULL::BIGINT AS position, NULL::VARCHAR AS name_a, NULL::VARCHAR AS name_b WHERE false")
+@R.query("SELECT n_nationkey::BIGINT AS position, n_name AS name_a, CASE WHEN n_nationkey % 6 = 0 THEN 'X' || upper(n_name) END AS name_b FROM nation WHERE n_nationkey % 6 IN (0, 5)")
 def vocabulary_alignment(spark: SparkSession, d: str) -> DataFrame:
-    """VAL3, VAL4, STR1: two vocabularies, one in capitals, agree at every position."""
+    """VAL3, VAL4, STR1: a vocabulary against one in capitals with other separators, other names and gaps."""
     n = table(spark, d, "nation")
     a = n.select(F.col("n_nationkey").cast("bigint").alias("position"), F.col("n_name").alias("name"))
-    return resolve.misaligned(a, a.withColumn("name", F.upper("name")), "position", "name", text.alnum_key)
+    b = a.where("position % 6 <> 5").withColumn("name", F.when(F.col("position") % 6 == 0, F.concat(F.lit("X"), F.upper("name"))).otherwise(F.upper(F.translate("name", " _", "--"))))
+    return resolve.misaligned(a, b, "position", "name", text.alnum_key)
 
 
-@R.query("SELECT scientific_name, count(DISTINCT taxon_id) AS values FROM taxa GROUP BY scientific_name HAVING count(DISTINCT taxon_id) > 1")
+@R.query("SELECT split_part(scientific_name, ' ', 1) AS genus, count(DISTINCT taxon_id) AS values FROM taxa GROUP BY 1 HAVING count(DISTINCT taxon_id) > 1")
 def ambiguous_names(spark: SparkSession, d: str) -> DataFrame:
-    """VAL5: scientific names of several taxa."""
-    return manifest.conflicting(table(spark, d, "taxa"), "scientific_name", "taxon_id")
+    """VAL5: names that stand for several taxa, here those of the genera."""
+    return manifest.conflicting(table(spark, d, "taxa").select(F.split("scientific_name", " ")[0].alias("genus"), "taxon_id"), "genus", "taxon_id")
 
 
 @R.query("SELECT t.n_nationkey, CASE WHEN n_nationkey % 5 = 0 THEN 'override ' || n_nationkey ELSE n_name END AS n_name FROM nation t")
@@ -346,24 +350,65 @@ def shared_taxa(spark: SparkSession, d: str) -> DataFrame:
     return s.where("split = 'train'").select("taxon_id").intersect(s.where("split = 'test'").select("taxon_id"))
 
 
-@R.query("SELECT s AS seed, t AS trial, 'run-' || s || '-' || t AS run_id FROM range(2026, 2029) a(s), (VALUES ('linear'), ('residual'), ('adapter')) b(t)")
-def study_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """JN16, VAL7, VAL22: every seed with every trial, two small lists of the configuration."""
-    seeds = spark.range(2026, 2029).withColumnRenamed("id", "seed")
-    trials = spark.createDataFrame([("linear",), ("residual",), ("adapter",)], "trial string")
-    return seeds.crossJoin(F.broadcast(trials)).select("seed", "trial", F.concat_ws("-", F.lit("run"), F.col("seed").cast("string"), "trial").alias("run_id"))
+@R.query(
+    """WITH r AS (SELECT DISTINCT result_id, stream_id, file_no::BIGINT AS file_no FROM run_results), m AS (SELECT stream_id, max(file_no) AS last FROM r GROUP BY stream_id),
+c AS (SELECT stream_id, unnest(range(1, last + 1)) AS file_no FROM m), n AS (SELECT stream_id, file_no, count(*) FILTER (result_id % 3 = 0) AS complete_runs FROM r GROUP BY ALL)
+SELECT c.stream_id, c.file_no, coalesce(complete_runs, 0) AS complete_runs, CASE WHEN coalesce(complete_runs, 0) = 0 THEN 'missing' ELSE 'several' END AS problem FROM c LEFT JOIN n USING (stream_id, file_no) WHERE coalesce(complete_runs, 0) <> 1"""
+)
+def study_cells(spark: SparkSession, d: str) -> DataFrame:
+    """JN16, VAL7, VAL22: every stream by every file number up to its last, each with exactly one complete run; a third
+    of the results count as complete."""
+    r = table(spark, d, "run_results").select("result_id", "stream_id", F.col("file_no").cast("bigint").alias("file_no")).distinct()
+    cells = r.groupBy("stream_id").agg(F.max("file_no").alias("_last")).select("stream_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_last"))).alias("file_no"))
+    return study.cell_problems(cells, r, ["stream_id", "file_no"], F.col("result_id") % 3 == 0)
+
+
+_LEAVES = """first AS (SELECT min(result_id) AS f FROM readable WHERE json_type(j) = 'OBJECT'), once_ AS (SELECT DISTINCT result_id, stream_id, j::VARCHAR AS j FROM readable WHERE json_type(j) = 'OBJECT'),
+leaf AS (SELECT r.result_id, r.stream_id, substr(t.fullkey, 3) AS field_path, CASE t.type WHEN 'BOOLEAN' THEN 'boolean' WHEN 'VARCHAR' THEN 'text' ELSE 'number' END AS kind, CASE WHEN t.type = 'VARCHAR' THEN t.atom->>'$' WHEN t.type = 'BOOLEAN' THEN t.atom::VARCHAR ELSE (t.atom::DOUBLE)::VARCHAR END AS v
+  FROM once_ r, json_tree(r.j::JSON) t WHERE t.type NOT IN ('OBJECT', 'ARRAY', 'NULL') AND prefix(t.fullkey, '$.protocol.') AND NOT contains(t.fullkey, '['))"""
+
+
+@R.query(
+    f"""WITH {problems.READ}, {_LEAVES}, want AS (SELECT r.result_id, w.field_path, w.kind, w.v FROM (SELECT DISTINCT result_id FROM leaf) r, first JOIN leaf w ON w.result_id = f)
+SELECT coalesce(w.result_id, h.result_id) AS result_id, coalesce(w.field_path, h.field_path) AS field_path, CASE WHEN h.result_id IS NULL THEN 'missing' WHEN w.result_id IS NULL THEN 'unexpected' WHEN h.kind <> w.kind THEN 'kind' ELSE 'value' END AS problem
+FROM want w FULL JOIN leaf h ON h.result_id = w.result_id AND h.field_path = w.field_path WHERE h.result_id IS NULL OR w.result_id IS NULL OR h.kind <> w.kind OR h.v <> w.v"""
+)
+def config_locks(spark: SparkSession, d: str) -> DataFrame:
+    """VAL21, AG31: the protocol of every result against that of the first one of all; the seed counts here."""
+    nodes = materialize(nested.label_nodes(table(spark, d, "run_results")).where("type = '' and kind = 'object' or (type like 'protocol.%' and type not like '%[]%')"))
+    first = nodes.where("type = ''").agg(F.min("result_id").alias("result_id"))
+    value = F.when(F.col("kind") == "number", F.col("value").cast("double").cast("string")).otherwise(F.col("value"))
+    leaf = nodes.where("value is not null").select("result_id", F.lit("all").alias("study"), F.col("node_path").alias("field_path"), "kind", value.alias("value"))
+    return study.config_problems(leaf, leaf.join(first, "result_id").drop("result_id"), "result_id", "study")
+
+
+@R.query("SELECT p_partkey, (i - 1)::INT AS position, string_split(p_type, ' ')[i] AS left_value, CASE WHEN i <= len(string_split(p_type, ' ')) - (p_partkey % 2) THEN CASE WHEN p_partkey % 3 = 0 AND i = 1 THEN 'OTHER' ELSE string_split(p_type, ' ')[i] END END AS right_value FROM part, range(1, 10) t(i) WHERE i <= len(string_split(p_type, ' ')) AND right_value IS DISTINCT FROM left_value")
+def zipped_lists(spark: SparkSession, d: str) -> DataFrame:
+    """JN17: lists against copies of which some lack the last entry and some have another first one."""
+    w = F.split("p_type", " ")
+    short = F.slice(w, F.lit(1), F.size(w) - (F.col("p_partkey") % 2).cast("int"))
+    other = F.transform(short, lambda x, i: F.when((F.col("p_partkey") % 3 == 0) & (i == 0), "OTHER").otherwise(x))
+    return study.zipped_problems(table(spark, d, "part").select("p_partkey", w.alias("a"), other.alias("b")), "p_partkey", "a", "b")
+
+
+@R.query("SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_returnflag, l_orderkey, l_linenumber) - 1 AS position FROM lineitem")
+def canonical_order(spark: SparkSession, d: str) -> DataFrame:
+    """TK4: places in a composite order, numbers as numbers."""
+    rows = table(spark, d, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber")
+    return partitions.numbered(rows, "l_returnflag", "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", "position")
+
 
+@R.query("SELECT taxon_id, upper(x[1]) || x[2:] AS name FROM (SELECT taxon_id, lower(trim(scientific_name)) AS x FROM taxa)")
+def binomial_names(spark: SparkSession, d: str) -> DataFrame:
+    """STR9."""
+    return table(spark, d, "taxa").select("taxon_id", text.binomial(F.upper("scientific_name")).alias("name"))
 
-@R.query("SELECT p.p_type, count(*) AS lines, round(sum(l_extendedprice), 2) AS amount FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey JOIN orders o ON o.o_orderkey = l.l_orderkey WHERE p.p_size > 5 AND l.l_quantity > 0 GROUP BY p.p_type")
-def annotation_plan(spark: SparkSession, d: str) -> DataFrame:
-    """CMP1-CMP4, JN2, FIL6: annotations to images and categories, coarse categories left out, counted by category."""
-    part = table(spark, d, "part").where("p_size > 5").select("p_partkey", "p_type")
-    lines = table(spark, d, "lineitem").where("l_quantity > 0").select("l_orderkey", "l_partkey", "l_extendedprice")
-    j = lines.join(part, lines.l_partkey == part.p_partkey).join(table(spark, d, "orders").select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
-    return j.groupBy("p_type").agg(F.count(F.lit(1)).alias("lines"), F.round(F.sum("l_extendedprice"), 2).alias("amount"))
 
+@R.query("SELECT item, expected, found FROM (SELECT 'n-' || r_regionkey AS item, CASE WHEN r_regionkey % 2 = 0 THEN 5 ELSE 4 END::BIGINT AS expected, count(*) AS found FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY ALL) WHERE expected <> found UNION ALL SELECT 'n-9', 1, NULL")
+def unexpected_counts(spark: SparkSession, d: str) -> DataFrame:
+    """VAL2: counts against the numbers that a data set has to have."""
+    from tarsus.sources.archives import unexpected_counts as against
 
-@R.query("SELECT o_orderstatus AS status, o_orderpriority AS position, count(*) AS rows FROM orders GROUP BY ALL")
-def status_counts(spark: SparkSession, d: str) -> DataFrame:
-    """AG13, JN17: counts by two keys."""
-    return table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("position")).agg(F.count(F.lit(1)).alias("rows"))
+    found = table(spark, d, "nation").groupBy(F.concat(F.lit("n-"), "n_regionkey").alias("item")).agg(F.count(F.lit(1)).alias("found"))
+    expected = spark.createDataFrame([(f"n-{i}", 5 if i % 2 == 0 else 4) for i in range(5)] + [("n-9", 1)], "item string, expected bigint")
+    return against(found, expected)

@@ -7,12 +7,12 @@ class b is the mean of those fit rows of a whose hash bucket is (a + b) mod 2.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarsus.functions.vectors import cross_entropy, doubles, stable_share
-from tarsus.operators import compare, paired, ranking
+from tarsus.operators import compare, paired, ranking, study
 from tarsus.plans.registry import Registry
 from tarsus.runtime import materialize, table
 
@@ -168,53 +168,67 @@ def mcnemar_test(spark: SparkSession, d: str) -> DataFrame:
     return paired.mcnemar(outcomes(spark, d), "before", "after").withColumn("p_value", F.round("p_value", 9))
 
 
+def _delta() -> Column:
+    return (F.col("after").cast("int") - F.col("before").cast("int")).cast("double")
+
+
+def _interval(b: DataFrame) -> DataFrame:
+    return b.select(F.col("total").cast("bigint").alias("total"), *[F.round(c, 9).alias(c) for c in ("gain_pp", "ci_lower_pp", "ci_upper_pp")], "reps")
+
+
+def _class_deltas(spark: SparkSession, d: str) -> DataFrame:
+    return outcomes(spark, d).groupBy("label").agg(F.avg(_delta()).alias("d"))
+
+
+@R.query()
+def paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """AG6, MTH6: 10,000 replicates of multinomial counts; paired_bootstrap_full has draws that SQL repeats."""
+    return _interval(paired.bootstrap_gain(outcomes(spark, d), _delta()))
+
+
+@R.query()
+def cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """AG7: classes are resampled, not images; 10,000 replicates of multinomial counts."""
+    return _interval(paired.bootstrap_gain(_class_deltas(spark, d), F.col("d")))
+
+
 @R.query(
     "WITH "
     + RERANKED
     + """, o AS (SELECT row_number() OVER (ORDER BY after::INT - before::INT) - 1 AS i, (after::INT - before::INT)::DOUBLE AS d, count(*) OVER () AS n FROM outcomes),
-draws AS (SELECT r AS rep, ('0x' || substr(sha256('2026|' || r || '|' || i), 1, 8))::BIGINT % n AS i FROM o, range(100) t(r)),
+draws AS (SELECT r AS rep, ('0x' || substr(sha256('2026|' || r || '|' || i), 1, 8))::BIGINT % n AS i FROM o, range(10000) t(r)),
 gains AS (SELECT rep, 100.0 * sum(o.d) / any_value(n) AS gain FROM draws JOIN o USING (i) GROUP BY rep)
-SELECT (SELECT count(*) FROM o) AS total, round((SELECT 100.0 * sum(d) / count(*) FROM o), 9) AS gain_pp, round(quantile_cont(gain, 0.025), 9) AS ci_lower_pp, round(quantile_cont(gain, 0.975), 9) AS ci_upper_pp, 100 AS reps FROM gains"""
+SELECT (SELECT count(*) FROM o) AS total, round((SELECT 100.0 * sum(d) / count(*) FROM o), 9) AS gain_pp, round(quantile_cont(gain, 0.025), 9) AS ci_lower_pp, round(quantile_cont(gain, 0.975), 9) AS ci_upper_pp, 10000 AS reps FROM gains"""
 )
-def paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    """AG6, MTH6."""
-    b = paired.bootstrap_gain(outcomes(spark, d), F.col("after").cast("int") - F.col("before").cast("int"), 100)
-    return b.select(F.col("total").cast("bigint").alias("total"), *[F.round(c, 9).alias(c) for c in ("gain_pp", "ci_lower_pp", "ci_upper_pp")], "reps")
+def paired_bootstrap_full(spark: SparkSession, d: str) -> DataFrame:
+    """AG6, MTH6: 10,000 replicates by hashed draws."""
+    return _interval(paired.hashed_bootstrap_gain(outcomes(spark, d), _delta()))
 
 
 @R.query(
     "WITH "
     + RERANKED
     + """, o AS (SELECT row_number() OVER (ORDER BY d) - 1 AS i, d, count(*) OVER () AS n FROM (SELECT label, avg((after::INT - before::INT)::DOUBLE) AS d FROM outcomes GROUP BY label)),
-draws AS (SELECT r AS rep, ('0x' || substr(sha256('2026|' || r || '|' || i), 1, 8))::BIGINT % n AS i FROM o, range(200) t(r)),
+draws AS (SELECT r AS rep, ('0x' || substr(sha256('2026|' || r || '|' || i), 1, 8))::BIGINT % n AS i FROM o, range(10000) t(r)),
 gains AS (SELECT rep, 100.0 * sum(o.d) / any_value(n) AS gain FROM draws JOIN o USING (i) GROUP BY rep)
-SELECT (SELECT count(*) FROM o) AS total, round((SELECT 100.0 * sum(d) / count(*) FROM o), 9) AS gain_pp, round(quantile_cont(gain, 0.025), 9) AS ci_lower_pp, round(quantile_cont(gain, 0.975), 9) AS ci_upper_pp, 200 AS reps FROM gains"""
+SELECT (SELECT count(*) FROM o) AS total, round((SELECT 100.0 * sum(d) / count(*) FROM o), 9) AS gain_pp, round(quantile_cont(gain, 0.025), 9) AS ci_lower_pp, round(quantile_cont(gain, 0.975), 9) AS ci_upper_pp, 10000 AS reps FROM gains"""
 )
-def cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    """AG7: classes are resampled, not images."""
-    by_class = outcomes(spark, d).groupBy("label").agg(F.avg((F.col("after").cast("int") - F.col("before").cast("int")).cast("double")).alias("d"))
-    b = paired.bootstrap_gain(by_class, F.col("d"), 200)
-    return b.select(F.col("total").cast("bigint").alias("total"), *[F.round(c, 9).alias(c) for c in ("gain_pp", "ci_lower_pp", "ci_upper_pp")], "reps")
-
-
-def _full(sql: str, reps: int) -> str:
-    """The SQL of a bootstrap of fewer replicates at the reference's 10,000."""
-    return sql.replace(f"range({reps}) t(r)", "range(10000) t(r)").replace(f"{reps} AS reps", "10000 AS reps")
-
-
-@R.query(_full(R.oracle["paired_bootstrap"], 100))
-def paired_bootstrap_full(spark: SparkSession, d: str) -> DataFrame:
-    """AG6, MTH6 at the reference's 10,000 replicates."""
-    b = paired.bootstrap_gain(outcomes(spark, d), F.col("after").cast("int") - F.col("before").cast("int"))
-    return b.select(F.col("total").cast("bigint").alias("total"), *[F.round(c, 9).alias(c) for c in ("gain_pp", "ci_lower_pp", "ci_upper_pp")], "reps")
+def cluster_bootstrap_full(spark: SparkSession, d: str) -> DataFrame:
+    """AG7: 10,000 replicates by hashed draws."""
+    return _interval(paired.hashed_bootstrap_gain(_class_deltas(spark, d), F.col("d")))
 
 
-@R.query(_full(R.oracle["cluster_bootstrap"], 200))
-def cluster_bootstrap_full(spark: SparkSession, d: str) -> DataFrame:
-    """AG7 at the reference's 10,000 replicates."""
-    by_class = outcomes(spark, d).groupBy("label").agg(F.avg((F.col("after").cast("int") - F.col("before").cast("int")).cast("double")).alias("d"))
-    b = paired.bootstrap_gain(by_class, F.col("d"))
-    return b.select(F.col("total").cast("bigint").alias("total"), *[F.round(c, 9).alias(c) for c in ("gain_pp", "ci_lower_pp", "ci_upper_pp")], "reps")
+@R.query(
+    "WITH "
+    + RERANKED
+    + f""", c AS (SELECT count(*) AS total, {_COUNTS} FROM outcomes)
+SELECT *, recovered + degraded AS discordant, round(100.0 * (recovered - degraded) / total, 9) AS gain_pp, 10000 AS reps, true AS inside FROM c"""
+)
+def comparison_bundle(spark: SparkSession, d: str) -> DataFrame:
+    """VAL13: one comparison in one row; the interval is held to lie around the gain."""
+    c = study.comparison(outcomes(spark, d), "before", "after")
+    inside = (F.col("ci_lower_pp") <= F.col("gain_pp")) & (F.col("gain_pp") <= F.col("ci_upper_pp"))
+    return c.select("total", *paired.CATEGORIES, "discordant", F.round("gain_pp", 9).alias("gain_pp"), "reps", inside.alias("inside"))
 
 
 @R.query(
@@ -286,10 +300,16 @@ def failure_difference(spark: SparkSession, d: str) -> DataFrame:
     return j.where("category_a = 'both_correct'").select("vec_id").subtract(j.where("category_b = 'both_correct'").select("vec_id"))
 
 
-@R.query("WITH " + RUNS + "SELECT vec_id, 'identity' AS problem FROM cats WHERE false")
+@R.query(
+    """SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN 'only in a' WHEN vec_id % 11 = 0 THEN 'identity' END AS problem FROM embeddings WHERE vec_id % 7 = 0 OR vec_id % 11 = 0
+UNION ALL SELECT -vec_id - 1, 'only in b' FROM embeddings WHERE vec_id % 13 = 0"""
+)
 def run_identity_violations(spark: SparkSession, d: str) -> DataFrame:
-    """JN1, JN4, VAL12: has to be empty."""
-    return compare.run_mismatches(outcomes(spark, d).select("vec_id", "label"), _second_run(spark, d).select("vec_id", "label"), "vec_id", ("label",))
+    """JN1, JN4, VAL12: a run against one that lacks samples, has others, and labels some otherwise."""
+    a = outcomes(spark, d).select("vec_id", "label")
+    other = a.where("vec_id % 7 <> 0").withColumn("label", F.when(F.col("vec_id") % 11 == 0, F.col("label") + 1).otherwise(F.col("label")))
+    more = a.where("vec_id % 13 = 0").select((-F.col("vec_id") - 1).alias("vec_id"), "label")
+    return compare.run_mismatches(a, other.unionByName(more), "vec_id", ("label",))
 
 
 _SEEDS = """
@@ -359,39 +379,100 @@ def alpha_sweep(spark: SparkSession, d: str) -> DataFrame:
     return s.withColumn("rank", rank).where("class_id = label").groupBy("alpha").agg(F.count_if(F.col("rank") == 1).alias("top1_correct"))
 
 
-@R.query("WITH " + SCORED + "SELECT count(*) AS matched, 0::BIGINT AS unmatched, true AS equal FROM scored")
+@R.query("WITH " + SCORED + "SELECT count(*) FILTER (class_id <> 9) AS matched, count(*) FILTER (class_id = 9) AS unmatched, round(max(abs(score - (score + (vec_id % 5) * 1e-3::DOUBLE))) FILTER (class_id <> 9), 9) AS max_abs_diff FROM scored")
 def score_parity(spark: SparkSession, d: str) -> DataFrame:
-    """AG29, TRN3: in-place scoring against a plain join of long rows."""
+    """AG29, TRN3: in-place scores against a plain join of long rows, from which a class is left out and scores are moved."""
     a = ranking.scores(images(spark, d), prototypes(spark, d)).select("vec_id", "class_id", "score")
     long = images(spark, d).select("vec_id", F.posexplode(doubles(F.col("embedding"))).alias("p", "x"))
-    w = prototypes(spark, d).select("class_id", F.posexplode("prototype").alias("p", "w"))
-    b = long.join(w, "p").groupBy("vec_id", "class_id").agg(F.sum(F.col("x") * F.col("w")).alias("score"))
-    return ranking.parity(a, b, ["vec_id", "class_id"]).select("matched", "unmatched", (F.col("max_abs_diff") < 1e-9).alias("equal"))
+    w = prototypes(spark, d).where("class_id <> 9").select("class_id", F.posexplode("prototype").alias("p", "w"))
+    b = long.join(w, "p").groupBy("vec_id", "class_id").agg((F.sum(F.col("x") * F.col("w")) + (F.col("vec_id") % 5) * 1e-3).alias("score"))
+    return ranking.parity(a, b, ["vec_id", "class_id"]).select("matched", "unmatched", F.round("max_abs_diff", 9).alias("max_abs_diff"))
 
 
-@R.query("SELECT 'finite' AS check, 0::BIGINT AS violations UNION ALL SELECT 'unit_norm', count(*) FILTER (abs(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) - 1) > 1e-3) FROM embeddings UNION ALL SELECT 'width', count(*) FILTER (len(embedding) <> 64) FROM embeddings UNION ALL SELECT 'label', count(*) FILTER (label < 0 OR label > 9) FROM embeddings")
+_FAULTS = """SELECT vector_id, len(features) = 64 AND len([x FOR x IN features IF x IS NULL OR isnan(x) OR isinf(x)]) = 0 AS fine, features, label FROM cached_features"""
+
+
+@R.query(
+    f"""WITH v AS ({_FAULTS}) SELECT 'finite' AS check, count(*) FILTER (coalesce(len([x FOR x IN features IF x IS NULL OR isnan(x) OR isinf(x)]) > 0, true)) AS violations FROM v
+UNION ALL SELECT 'unit_norm', count(*) FILTER (NOT coalesce(fine, false) OR abs(sqrt(list_dot_product(CASE WHEN fine THEN features END::DOUBLE[], CASE WHEN fine THEN features END::DOUBLE[])) - 1) > 1e-3) FROM v
+UNION ALL SELECT 'width', count(*) FILTER (coalesce(len(features) <> 64, true)) FROM v UNION ALL SELECT 'label', count(*) FILTER (coalesce(label < 0 OR label > 900, true)) FROM v"""
+)
 def feature_violations(spark: SparkSession, d: str) -> DataFrame:
-    """MTH5, SRC24, VAL9: predicates that every cached vector has to meet."""
+    """MTH5, SRC24, VAL9: predicates that every cached vector has to meet, over a cache with vectors of every fault."""
     from tarsus.functions.vectors import all_finite, unit_norm
 
-    e = images(spark, d)
-    return ranking.count_violations(e, finite=all_finite(F.col("embedding")), unit_norm=unit_norm(F.col("embedding")), width=F.size("embedding") == 64, label=F.col("label").between(0, 9))
+    v = F.col("features")
+    whole = (F.size(v) == 64) & all_finite(v)
+    return ranking.count_violations(table(spark, d, "cached_features"), finite=all_finite(v), unit_norm=F.when(whole, unit_norm(v)).otherwise(F.lit(False)), width=F.size(v) == 64, label=F.col("label").between(0, 900))
 
 
-@R.query("WITH " + SCORED + f", arr AS (SELECT vec_id, list(class_id ORDER BY rank) FILTER (rank <= {K}) AS a, list(class_id ORDER BY class_id) FILTER (rank <= {K}) AS b FROM ranks GROUP BY vec_id) SELECT vec_id, a = b AS equal, true AS same_classes, CASE WHEN a[1] <> b[1] THEN 1 WHEN a[2] <> b[2] THEN 2 WHEN a[3] <> b[3] THEN 3 END::BIGINT AS first_difference FROM arr")
+@R.query(
+    "WITH "
+    + SCORED
+    + f""", arr AS (SELECT vec_id, list(class_id ORDER BY rank) FILTER (rank <= {K}) AS a, list(class_id ORDER BY class_id) FILTER (rank <= {K}) AS s FROM ranks GROUP BY vec_id),
+b AS (SELECT vec_id, a, CASE WHEN vec_id % 5 = 0 THEN [s[1], s[2], 99] ELSE s END AS b FROM arr)
+SELECT vec_id, a = b AS equal, list_sort(a) = list_sort(b) AS same_classes, CASE WHEN a[1] <> b[1] THEN 1 WHEN a[2] <> b[2] THEN 2 WHEN a[3] <> b[3] THEN 3 END::BIGINT AS first_difference FROM b"""
+)
 def ranking_changes(spark: SparkSession, d: str) -> DataFrame:
-    """VAL14, VAL17, ARR2."""
+    """VAL14, VAL17, ARR2: rankings against the classes in the order of their ids, of which some have another class."""
     a = candidates(spark, d).select("vec_id", F.col("candidates").alias("r"))
-    b = a.select("vec_id", F.array_sort("r").alias("r"))
+    s = F.array_sort("r")
+    b = a.select("vec_id", F.when(F.col("vec_id") % 5 == 0, F.concat(F.slice(s, 1, 2), F.array(F.lit(99).cast(a.schema["r"].dataType.elementType)))).otherwise(s).alias("r"))
     return compare.ranking_changes(a, b, "vec_id", "r").withColumn("first_difference", F.col("first_difference").cast("bigint"))
 
 
-@R.query("WITH " + RERANKED + "SELECT count(*) AS comparisons, 0::BIGINT AS violations FROM (SELECT 1)")
+@R.query(
+    "WITH "
+    + RERANKED
+    + """, s AS (SELECT label, count(*) FILTER (NOT before AND after) AS recovered, count(*) FILTER (before AND NOT after) AS degraded, count(*) FILTER (before) AS before_correct, count(*) FILTER (after) + (label % 4 = 3)::INT AS after_correct FROM outcomes GROUP BY label)
+SELECT label, recovered, degraded, before_correct, after_correct FROM s WHERE recovered - degraded <> after_correct - before_correct"""
+)
 def comparison_consistency(spark: SparkSession, d: str) -> DataFrame:
-    """AG30, AG33: recovered - degraded equals the change in correct counts, recomputed from rows."""
-    o = outcomes(spark, d)
-    s = o.agg(F.count_if(~F.col("before") & F.col("after")).alias("recovered"), F.count_if(F.col("before") & ~F.col("after")).alias("degraded"), F.count_if("before").alias("before_correct"), F.count_if("after").alias("after_correct"))
-    return s.agg(F.count(F.lit(1)).alias("comparisons"), F.count_if(F.col("recovered") - F.col("degraded") != F.col("after_correct") - F.col("before_correct")).alias("violations"))
+    """AG30, AG33: comparisons whose counts contradict each other, one a class, some of which were miscounted."""
+    after = F.count_if("after") + (F.first("label") % 4 == 3).cast("int")
+    s = outcomes(spark, d).groupBy("label").agg(F.count_if(~F.col("before") & F.col("after")).alias("recovered"), F.count_if(F.col("before") & ~F.col("after")).alias("degraded"), F.count_if("before").alias("before_correct"), after.alias("after_correct"))
+    return paired.inconsistent(s)
+
+
+@R.query("WITH " + SCORED + "SELECT vec_id, round(min(score) FILTER (class_id = label) - max(score) FILTER (class_id <> label), 9) AS margin, min(rank) FILTER (class_id = label) AS target_rank FROM ranks GROUP BY vec_id")
+def target_margins(spark: SparkSession, d: str) -> DataFrame:
+    """PRJ8: the target's margin and rank."""
+    a = arrays(spark, d)
+    place = F.array_position(F.transform("ranked", lambda s: s["class_id"]), F.col("label")).cast("bigint")
+    return a.select("vec_id", F.round(study.target_margin(F.col("ranked"), F.col("label")), 9).alias("margin"), place.alias("target_rank"))
+
+
+@R.query(
+    """WITH t AS (SELECT vec_id, CASE WHEN vec_id % 9 = 0 THEN 'width' WHEN vec_id % 9 = 1 THEN 'repeated' WHEN vec_id % 9 = 2 THEN 'unknown class' WHEN vec_id % 9 = 3 THEN 'names' END AS p FROM embeddings)
+SELECT vec_id, p AS problem FROM t WHERE p IS NOT NULL UNION ALL SELECT vec_id, 'names' FROM t WHERE p = 'unknown class'"""
+)
+def top_row_problems(spark: SparkSession, d: str) -> DataFrame:
+    """VAL20: rows of predictions with every fault."""
+    classes = table(spark, d, "nation").select(F.col("n_nationkey").alias("class_id"), F.col("n_name").alias("name"))
+    fault = F.col("vec_id") % 9
+    ids = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: ((F.col("label") + i) % 25).cast("int"))
+    ids = F.when(fault == 0, F.slice(ids, 1, 4)).when(fault == 1, F.concat(F.slice(ids, 1, 4), F.slice(ids, 1, 1))).when(fault == 2, F.concat(F.slice(ids, 1, 4), F.array(F.lit(77)))).otherwise(ids)
+    known = classes.agg(F.map_from_entries(F.collect_list(F.struct(F.col("class_id").cast("int"), "name"))).alias("_m"))
+    rows = images(spark, d).select("vec_id", "label", ids.alias("top")).crossJoin(F.broadcast(known))
+    names = F.transform("top", lambda i: F.coalesce(F.try_element_at("_m", i), F.lit("?")))
+    rows = rows.select("vec_id", "top", F.when(fault == 3, F.reverse(names)).otherwise(names).alias("names"))
+    return study.top_problems(rows, "vec_id", "top", "names", classes)
+
+
+@R.query("WITH o AS (SELECT label, count(*) AS n, count(*) FILTER (vec_id % 3 = 0) AS c FROM embeddings GROUP BY label) SELECT label, CASE label % 4 WHEN 1 THEN 'percent' WHEN 2 THEN 'counts' WHEN 3 THEN 'finite' END AS problem FROM o WHERE label % 4 <> 0 UNION ALL SELECT label, 'percent' FROM o WHERE label % 4 IN (2, 3)")
+def metric_contradictions(spark: SparkSession, d: str) -> DataFrame:
+    """VAL25: accuracies of every class, some of which don't follow from their counts."""
+    m = images(spark, d).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("vec_id") % 3 == 0).alias("c"))
+    p, k = 100.0 * F.col("c") / F.col("n"), F.col("label") % 4
+    m = m.select("label", "n", F.when(k == 2, F.col("n") + 1).otherwise(F.col("c")).alias("c"), F.when(k == 1, p + 1e-9).when(k == 3, F.lit(float("nan"))).otherwise(p).alias("p"))
+    return study.metric_problems(m, "label", "c", "n", "p")
+
+
+@R.query("WITH " + PROTO + """, u AS (SELECT class_id, sha256(class_id || '|' || list_aggregate([round(x * 1000000)::BIGINT::VARCHAR FOR x IN prototype], 'string_agg', ',')) AS h, substr(sha256(class_id::VARCHAR), 1, 3) AS bucket FROM proto),
+b AS (SELECT bucket, sha256(string_agg(h, chr(10) ORDER BY class_id)) AS h, count(*) AS n FROM u GROUP BY bucket) SELECT 'all' AS run, sha256(string_agg(h, chr(10) ORDER BY bucket)) AS digest, sum(n)::BIGINT AS rows FROM b""")
+def prototype_digest(spark: SparkSession, d: str) -> DataFrame:
+    """AG27: one digest of all prototypes."""
+    return study.vector_digest(prototypes(spark, d).withColumn("run", F.lit("all")), ["run"], "class_id", "prototype")
 
 
 @R.query(

@@ -35,37 +35,105 @@ def coco_plan(images: DataFrame, annotations: DataFrame, categories: DataFrame,
     return j.withColumn("box", cut).where("box is not null").select("id", "image_id", "file_name", "category", "box", (F.col("box") != F.col("_box")).alias("changed"))
 
 
-def zip_members(path: str) -> list[str]:
-    """SRC13: member names of a ZIP whose every member is a plain, unencrypted file at a safe relative path, once."""
+def plan_counts(images: DataFrame, annotations: DataFrame, categories: DataFrame, plan: DataFrame) -> DataFrame:
+    """CMP1-CMP4: (item, found): what a plan has to count, to be held against expected numbers."""
+    crops = plan.agg(F.count(F.lit(1)).alias("crops"), F.count_distinct("category").alias("taxa"), F.count_distinct("image_id").alias("used_images"), F.count_if("changed").alias("clipped"))
+    parts = [df.agg(F.count(F.lit(1)).alias(n)) for n, df in (("images", images), ("annotations", annotations), ("categories", categories))]
+    row = crops
+    for p in parts:
+        row = row.crossJoin(p)  # one row each
+    return row.unpivot([], list(row.columns), "item", "found")
+
+
+def unexpected_counts(counts: DataFrame, expected: DataFrame) -> DataFrame:
+    """CMP1-CMP4, VAL2: (item, expected, found) where a count is another than expected, or missing."""
+    j = expected.join(counts, "item", "full")
+    return j.where(~F.col("expected").eqNullSafe(F.col("found"))).select("item", "expected", "found")
+
+
+def supercategory(categories: DataFrame, annotations: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """FIL5: the categories of one supercategory, and the annotations, hence images, that they retain."""
+    kept = categories.where(F.col("supercategory") == name)
+    return kept, annotations.join(kept.select(F.col("id").alias("category_id")), "category_id", "left_semi")
+
+
+def tar_json(spark: SparkSession, path: str, suffix: str, schema: str) -> DataFrame:
+    """SRC11: the JSON members of tar.gz archives whose names end with a suffix, under a declared schema; they are read
+    where the archives lie. A member that doesn't parse, or an archive without one, fails."""
+
+    def run(batches):
+        import io
+        import tarfile
+
+        import pandas as pd
+
+        for batch in batches:
+            rows = []
+            for name, content in zip(batch["path"], batch["content"]):
+                with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as t:
+                    found = [t.extractfile(m).read().decode("utf-8") for m in t if m.isfile() and m.name.endswith(suffix)]
+                if not found:
+                    raise ValueError(f"{name} has no member {suffix}")
+                rows += [(name, text) for text in found]
+            yield pd.DataFrame(rows, columns=["archive", "text"])
+
+    texts = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, text string")
+    return texts.select(F.from_json("text", schema, {"mode": "FAILFAST"}).alias("_j")).select("_j.*")
+
+
+def checked_names(archive: zipfile.ZipFile) -> list[str]:
     names: list[str] = []
-    with zipfile.ZipFile(path) as z:
-        for info in z.infolist():
-            if info.is_dir():
-                continue
-            p = PurePosixPath(info.filename)
-            if p.is_absolute() or ".." in p.parts or "\\" in info.filename:
-                raise ValueError(f"unsafe path {info.filename}")
-            if info.flag_bits & 1:
-                raise ValueError(f"encrypted member {info.filename}")
-            if stat.S_ISLNK(info.external_attr >> 16):
-                raise ValueError(f"symbolic link {info.filename}")
-            names.append(info.filename)
+    for info in archive.infolist():
+        if info.is_dir():
+            continue
+        p = PurePosixPath(info.filename)
+        if p.is_absolute() or ".." in p.parts or "\\" in info.filename:
+            raise ValueError(f"unsafe path {info.filename}")
+        if info.flag_bits & 1:
+            raise ValueError(f"encrypted member {info.filename}")
+        if stat.S_ISLNK(info.external_attr >> 16):
+            raise ValueError(f"symbolic link {info.filename}")
+        names.append(info.filename)
     if len(set(names)) != len(names):
         raise ValueError("a member is repeated")
     return names
 
 
+def zip_members(path: str) -> list[str]:
+    """SRC13: member names of a ZIP whose every member is a plain, unencrypted file at a safe relative path, once."""
+    with zipfile.ZipFile(path) as z:
+        return checked_names(z)
+
+
 def member_problems(spark: SparkSession, path: str, expected: DataFrame, column: str) -> DataFrame:
-    """SRC14, VAL26: expected members an archive lacks, and members nobody expects."""
+    """SRC14, VAL26: expected members an archive lacks, and members nobody expects. Archives are read where they lie."""
     from tarsus.operators.manifest import key_mismatches
+    from tarsus.runtime import ship
+
+    def run(batches):
+        import io
+
+        import pandas as pd
 
-    found = spark.createDataFrame([(n,) for n in zip_members(path)], f"{column} string")
+        for batch in batches:
+            names = []
+            for content in batch["content"]:
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    names += checked_names(z)
+            yield pd.DataFrame({column: names})
+
+    ship(spark)
+    found = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, f"{column} string")
     return key_mismatches(expected, found, column)
 
 
 def zip_texts(spark: SparkSession, path: str, suffix: str = ".txt") -> DataFrame:
     """SRC11, SRC12, SRC15: (archive, member, text) of the text members of ZIP archives, read where the archives lie."""
 
+    from tarsus.runtime import ship
+
+    ship(spark)
+
     def run(batches):
         import io
 
@@ -74,8 +142,8 @@ def zip_texts(spark: SparkSession, path: str, suffix: str = ".txt") -> DataFrame
         for batch in batches:
             rows = []
             for name, content in zip(batch["path"], batch["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    rows += [(name, i.filename, z.read(i).decode("utf-8")) for i in z.infolist() if i.filename.endswith(suffix)]
+                with zipfile.ZipFile(io.BytesIO(content)) as z:  # reading a member checks its CRC
+                    rows += [(name, n, z.read(n).decode("utf-8")) for n in checked_names(z) if n.endswith(suffix)]
             yield pd.DataFrame(rows, columns=["archive", "member", "text"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, member string, text string")

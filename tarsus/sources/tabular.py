@@ -154,6 +154,26 @@ def missing_pairs(pairs: DataFrame, classes: int) -> DataFrame:
     return every.join(pairs.select("first_id", "second_id"), ["first_id", "second_id"], "left_anti")
 
 
+def pair_problems(pairs: DataFrame, classes: int) -> DataFrame:
+    """SRC26: (first_id, second_id, problem): pairs of the classes that have no descriptions, and pairs of no class."""
+    missing = missing_pairs(pairs, classes).select("first_id", "second_id", F.lit("missing").alias("problem"))
+    extra = pairs.where((F.col("first_id") < 0) | (F.col("second_id") >= classes)).select("first_id", "second_id", F.lit("extra").alias("problem"))
+    return missing.unionByName(extra)
+
+
+def clip_problems(clips: DataFrame, species: DataFrame, behaviors: DataFrame) -> DataFrame:
+    """SRC8: (clip, problem) of clips that name a species or behavior the dimensions don't have, or hold no frame.
+
+    A null name is unknown, null frames are empty; a clip may have several problems.
+    """
+    def unknown(names: DataFrame, column: str, problem: str) -> DataFrame:
+        return clips.join(names.select(column), column, "left_anti").select("clip", F.lit(problem).alias("problem"))
+
+    frames = F.col("first_frame").try_cast("bigint") <= F.col("last_frame").try_cast("bigint")
+    empty = clips.where(~F.coalesce(frames, F.lit(False))).select("clip", F.lit("empty").alias("problem"))
+    return unknown(species, "species", "unknown species").unionByName(unknown(behaviors, "behavior", "unknown behavior")).unionByName(empty)
+
+
 def only_match(spark: SparkSession, pattern: str) -> str:
     """SRC29: the one path that a pattern matches, on whatever file system the pattern names."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)

@@ -66,7 +66,7 @@ def test_bootstrap_takes_ten_thousand_replicates(spark):
 
 def test_bootstrap_chunks_draw_alike(spark):
     df = spark.createDataFrame([(i, float(i % 3 - 1)) for i in range(100)], "i int, d double")
-    assert paired.bootstrap_gain(df, F.col("d"), 20, chunk=7).first() == paired.bootstrap_gain(df, F.col("d"), 20).first()
+    assert paired.hashed_bootstrap_gain(df, F.col("d"), 20, chunk=7).first() == paired.hashed_bootstrap_gain(df, F.col("d"), 20).first()
 
 
 def test_seed_statistics(spark):
