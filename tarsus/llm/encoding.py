@@ -112,21 +112,20 @@ def script(c: str) -> str:
 
 OTHER_SCRIPTS = re.compile(r"[^\W\d_\x00-\u024f]")
 LETTERS = re.compile(r"[^\W\d_]+")
-CAPITALS = re.compile("\\b[{0}]{{2,}}[{1}]".format(*("".join(c for c in map(chr, range(0x41, 0x250)) if is_case(c)) for is_case in (str.isupper, str.islower))))
+STRANGE = re.compile(r"[^\x00-\x7f]")
+STRANGE_RUNS = re.compile(r"[^\x00-\x7f]{2,}")
+CAPITALS = re.compile(r"(?<![^\W\d_])[^\W\d_a-zß-öø-ÿ]{2}[^\W\d_]+")
 
 
 def cost(text: str) -> int:
     """Garbling cost: characters out of place, lost or control characters, and words of mixed scripts or of capitals that
     end in small letters."""
-    total = 0
-    for i, c in enumerate(text):
-        if c > "\x7f":
-            total += not fits(text, i)
+    total = sum(not fits(text, m.start()) for m in STRANGE.finditer(text))
     if OTHER_SCRIPTS.search(text):
         for word in LETTERS.findall(text):
             total += not word.isascii() and len({script(c) for c in word}) > 1
     for m in CAPITALS.finditer(text):
-        total += not m[0][:-1].isascii()
+        total += not m[0].isascii() and m[0][:2].isupper() and not m[0].isupper()
     return total
 
 
@@ -311,8 +310,11 @@ def settled(text: str, now: int, seen: dict[str, tuple[str, int]]) -> tuple[str,
     """The text at the least cost that layers of UTF-8 repair lead to, each of which lowers the cost, and that cost."""
     if text not in seen:
         best = text, now
-        if now and suspects().search(text):
+        runs = " ".join(STRANGE_RUNS.findall(text)) if now else ""  # where a sequence may lie
+        if suspects().search(runs):
             for e in LEGACY:
+                if not sequence_pattern(e).search(runs):
+                    continue
                 new, n = repair_layer(text, e)
                 if n and new not in seen and (c := cost(new)) < now:
                     best = min(best, settled(new, c, seen), key=lambda x: x[1])
