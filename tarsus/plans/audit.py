@@ -412,3 +412,26 @@ def unexpected_counts(spark: SparkSession, d: str) -> DataFrame:
     found = table(spark, d, "nation").groupBy(F.concat(F.lit("n-"), "n_regionkey").alias("item")).agg(F.count(F.lit(1)).alias("found"))
     expected = spark.createDataFrame([(f"n-{i}", 5 if i % 2 == 0 else 4) for i in range(5)] + [("n-9", 1)], "item string, expected bigint")
     return against(found, expected).select("item", "expected", F.coalesce("found", F.lit(0)).alias("found"))
+
+
+@R.query("SELECT s AS seed, t AS trial, 'run-' || s || '-' || t AS run_id FROM range(2026, 2029) a(s), (VALUES ('linear'), ('residual'), ('adapter')) b(t)")
+def study_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """JN16: every seed with every trial, two small lists of the configuration."""
+    seeds = spark.range(2026, 2029).withColumnRenamed("id", "seed")
+    trials = spark.createDataFrame([("linear",), ("residual",), ("adapter",)], "trial string")
+    return seeds.crossJoin(F.broadcast(trials)).select("seed", "trial", F.concat_ws("-", F.lit("run"), F.col("seed").cast("string"), "trial").alias("run_id"))
+
+
+@R.query("SELECT p.p_type, count(*) AS lines, round(sum(l_extendedprice), 2) AS amount FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey JOIN orders o ON o.o_orderkey = l.l_orderkey WHERE p.p_size > 5 AND l.l_quantity > 0 GROUP BY p.p_type")
+def annotation_plan(spark: SparkSession, d: str) -> DataFrame:
+    """JN2: lines to parts and orders, counted by type; coco_crops has the plans over COCO documents."""
+    part = table(spark, d, "part").where("p_size > 5").select("p_partkey", "p_type")
+    lines = table(spark, d, "lineitem").where("l_quantity > 0").select("l_orderkey", "l_partkey", "l_extendedprice")
+    j = lines.join(part, lines.l_partkey == part.p_partkey).join(table(spark, d, "orders").select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+    return j.groupBy("p_type").agg(F.count(F.lit(1)).alias("lines"), F.round(F.sum("l_extendedprice"), 2).alias("amount"))
+
+
+@R.query("SELECT o_orderstatus AS status, o_orderpriority AS position, count(*) AS rows FROM orders GROUP BY ALL")
+def status_counts(spark: SparkSession, d: str) -> DataFrame:
+    """AG13: counts by two keys."""
+    return table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("position")).agg(F.count(F.lit(1)).alias("rows"))
