@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import io
 import json
 import tarfile
@@ -139,15 +140,45 @@ def split_list_json(spark: SparkSession, d: str) -> DataFrame:
     return tabular.split_lists(spark, put(spark, f"{folder(spark)}/splits.json", doc))
 
 
+def document(spark: SparkSession, arrays: dict[str, DataFrame]) -> str:
+    """One JSON object with an array of each table's rows. The rows are written in parallel, as gzip members, which are
+    strung together as streams into one file."""
+    jvm, folder_ = spark.sparkContext._jvm, folder(spark)
+    path = lambda name: jvm.org.apache.hadoop.fs.Path(f"{folder_}/{name}")
+    files = path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    stream = files.create(path("document.json.gz"), False)
+    try:
+        for n, (name, df) in enumerate(arrays.items()):
+            stream.write(bytearray(gzip.compress((("]," if n else "{") + f"{json.dumps(name)}:[\n").encode())))
+            row = F.to_json(F.struct(*df.columns))
+            first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0  # of its partition
+            df.select(F.when(first, row).otherwise(F.concat(F.lit(","), row)).alias("value")).write.option("compression", "gzip").text(f"{folder_}/{name}")
+            filled = False
+            for part in sorted(p for p in (f.getPath().getName() for f in files.listStatus(path(name))) if p[0] not in "_."):
+                with_rows = jvm.java.util.zip.GZIPInputStream(files.open(path(f"{name}/{part}")))
+                start = with_rows.read()
+                with_rows.close()
+                if start < 0:
+                    continue
+                if filled and start != ord(","):
+                    stream.write(bytearray(gzip.compress(b",")))
+                filled, content = True, files.open(path(f"{name}/{part}"))
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(content, stream, 1 << 16, False)
+                content.close()
+            files.delete(path(name), True)
+        stream.write(bytearray(gzip.compress(b"]}" if arrays else b"{}")))
+    finally:
+        stream.close()
+    return f"{folder_}/document.json.gz"
+
+
 def _coco(spark: SparkSession, d: str) -> str:
-    """A COCO document: customers are images, orders annotations, nations categories. It is one JSON value, made in one task."""
-    i = table(spark, d, "customer").agg(F.collect_list(F.struct(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("file_name"), F.lit(320).alias("width"), (F.lit(200) + F.col("c_custkey") % 40).cast("int").alias("height"))).alias("images"))
+    """A COCO document: customers are images, orders annotations, nations categories. It is one JSON value in one file."""
+    i = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("file_name"), F.lit(320).alias("width"), (F.lit(200) + F.col("c_custkey") % 40).cast("int").alias("height"))
     x, y = (F.col("o_orderkey") % 360 - 20).cast("double"), (F.col("o_orderkey") % 230 - 10).cast("double")
-    a = table(spark, d, "orders").agg(F.collect_list(F.struct(F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").cast("string").alias("image_id"), (F.col("o_orderkey") % 25).cast("int").alias("category_id"), F.array(x, y, F.lit(40.0), F.lit(25.5)).alias("bbox"))).alias("annotations"))
-    c = table(spark, d, "nation").agg(F.collect_list(F.struct(F.col("n_nationkey").alias("id"), F.when(F.col("n_nationkey") == 3, "Bird").when(F.col("n_nationkey") == 4, "empty").otherwise(F.col("n_name")).alias("name"))).alias("categories"))
-    path = folder(spark)
-    i.crossJoin(a).crossJoin(c).select(F.to_json(F.struct("images", "annotations", "categories")).alias("value")).write.text(path)
-    return path
+    a = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").cast("string").alias("image_id"), (F.col("o_orderkey") % 25).cast("int").alias("category_id"), F.array(x, y, F.lit(40.0), F.lit(25.5)).alias("bbox"))
+    c = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.when(F.col("n_nationkey") == 3, "Bird").when(F.col("n_nationkey") == 4, "empty").otherwise(F.col("n_name")).alias("name"))
+    return document(spark, {"images": i, "annotations": a, "categories": c})
 
 
 _PLAN = """o AS (SELECT o_orderkey::VARCHAR AS id, o_custkey AS image, n_name AS category, (o_orderkey % 360 - 20)::DOUBLE AS x0, (o_orderkey % 230 - 10)::DOUBLE AS y0, 320::DOUBLE AS w, (200 + o_custkey % 40)::DOUBLE AS h FROM orders JOIN nation ON n_nationkey = o_orderkey % 25 JOIN customer ON c_custkey = o_custkey WHERE n_nationkey NOT IN (3, 4)),

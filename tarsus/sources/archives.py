@@ -2,23 +2,121 @@
 
 from __future__ import annotations
 
+import json
+import re
 import stat
 import zipfile
+from collections.abc import Iterator
 from pathlib import PurePosixPath
+from typing import BinaryIO
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-COCO = (
-    "images array<struct<id:string,file_name:string,width:int,height:int>>, "
-    "annotations array<struct<id:string,image_id:string,category_id:int,bbox:array<double>>>, categories array<struct<id:int,name:string>>"
-)
+COCO = {
+    "images": "array<struct<id:string,file_name:string,width:int,height:int>>",
+    "annotations": "array<struct<id:string,image_id:string,category_id:int,bbox:array<double>>>",
+    "categories": "array<struct<id:int,name:string>>",
+}
+MARKS = np.zeros(256, np.int8)  # what opens is 1, what closes -1, a comma 2
+for _c, _v in ((b"[", 1), (b"{", 1), (b"]", -1), (b"}", -1), (b",", 2)):
+    MARKS[_c[0]] = _v
+
+
+def array_parts(stream: BinaryIO, size: int = 1 << 20) -> Iterator[tuple[str, str]]:
+    """(name, JSON array): the arrays of a JSON object, each cut between elements into arrays of about size bytes. The
+    stream is read once, and no more of it is held than a part. Elements are only cut apart, what lies around them has
+    to be one JSON object without repeated keys."""
+    depth, inside, odd = 0, False, False  # inside: in a string; odd: the bytes so far end with an open escape
+    name, parts, held, rest = None, 0, bytearray(), bytearray()  # rest: the document without the arrays' elements
+
+    def part(last: bool) -> list[tuple[str, str]]:
+        nonlocal parts
+        text = held.decode("utf-8")
+        if not text.strip():
+            if parts or not last:
+                raise ValueError(f"an element of {name} is missing")
+            return []
+        parts += 1
+        return [(name, f"[{text}]")]
+
+    while chunk := stream.read(size):
+        a = np.frombuffer(chunk, np.uint8)
+        quote = a == ord('"')
+        if odd or b"\\" in chunk:
+            slashes = np.flatnonzero(a == ord("\\"))
+            gap = np.diff(slashes) > 1
+            first, last = slashes[np.append(True, gap)[: len(slashes)]], slashes[np.append(gap, True)[: len(slashes)]]
+            length = last - first + 1
+            if odd and len(first) and first[0] == 0:
+                length[0] += 1
+            elif odd:
+                quote[0] = False
+            after = last[length % 2 == 1] + 1
+            quote[after[after < len(a)]] = False
+            odd = bool(len(after)) and int(after[-1]) == len(a)
+        string = (np.cumsum(quote) + inside) % 2
+        inside = bool(string[-1])
+        mark = MARKS[a]
+        at = np.flatnonzero(mark)
+        at = at[string[at] == 0]
+        step = np.where(mark[at] == 2, 0, mark[at])
+        deep = depth + np.cumsum(step)
+        depth = int(deep[-1]) if len(deep) else depth
+        pos = 0
+        for i in at[((deep == 2) & (step == 1)) | ((deep == 1) & (step == -1))].tolist():
+            if name is not None:
+                held += chunk[pos:i]
+                yield from part(True)
+                name, held, pos = None, bytearray(), i
+            rest += chunk[pos : i + 1]
+            pos = i + 1
+            if chunk[i] == ord("[") and (key := re.search(rb'"((?:[^"\\]|\\.)*)"\s*:\s*\[$', rest)):
+                name, parts = json.loads(b'"' + key[1] + b'"'), 0
+        if name is None:
+            rest += chunk[pos:]
+            continue
+        commas = at[(deep == 2) & (step == 0) & (at >= pos)]
+        if len(commas):
+            held += chunk[pos : commas[-1]]
+            yield from part(False)
+            held, pos = bytearray(), int(commas[-1]) + 1
+        held += chunk[pos:]
+
+    def once(pairs: list[tuple[str, object]]) -> dict:
+        if len({k for k, _ in pairs}) < len(pairs):
+            raise ValueError("a key is repeated")
+        return dict(pairs)
+
+    if not isinstance(json.loads(rest.decode("utf-8-sig"), object_pairs_hook=once), dict):
+        raise ValueError("a document has to be an object")
 
 
 def coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """SRC10: (images, annotations, categories) of a COCO document, one table an array."""
-    doc = spark.read.schema(COCO).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    return tuple(doc.select(F.explode(c).alias("_x")).select("_x.*") for c in ("images", "annotations", "categories"))
+    """SRC10: (images, annotations, categories) of COCO documents, one table an array. A document is cut between the
+    elements of its arrays as a stream, in one task and bounded memory, where it lies (compressed ones by their suffix,
+    and any file system that Arrow knows); its parts are written to the shared folder and parsed in parallel."""
+    from tarsus.runtime import materialize, ship
+
+    def run(batches):
+        import pandas as pd
+        from pyarrow import fs
+
+        n = 0
+        for batch in batches:
+            for name in batch["path"]:
+                files, at = fs.FileSystem.from_uri(name)
+                with files.open_input_stream(at, compression="detect") as stream:
+                    for array, text in array_parts(stream):
+                        if array in COCO:
+                            n += 1
+                            yield pd.DataFrame({"array": [array], "part": [n], "text": [text]})
+
+    ship(spark)
+    found = spark.read.format("binaryFile").load(path).select("path")
+    parts = materialize(found.mapInPandas(run, "array string, part bigint, text string").repartition("part"))
+    return tuple(parts.where(F.col("array") == c).select(F.explode(F.from_json("text", schema, {"mode": "FAILFAST"})).alias("_x")).select("_x.*") for c, schema in COCO.items())
 
 
 def coco_plan(images: DataFrame, annotations: DataFrame, categories: DataFrame, generic: tuple[str, ...] = ("empty", "bird")) -> DataFrame:

@@ -1,4 +1,6 @@
+import gzip
 import hashlib
+import io
 import json
 import zipfile
 
@@ -7,6 +9,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tarsus.operators import manifest
+from tarsus.plans import files
 from tarsus.sources import archives, features, sinks, tabular
 from tarsus.streaming import shards
 
@@ -105,6 +108,35 @@ def test_coco_plan(spark, tmp_path):
     assert manifest.unknown_keys(annotations.select(F.col("image_id").alias("k")), images.select(F.col("id").alias("k")), "k").isEmpty()
 
 
+def test_document_is_cut_between_elements():
+    doc = {"info": {"a": ["x", {"b": 1}]}, "images": [{"id": '7"],}\\\\', "é": [[1, {"z": "]"}], "\\\\"]}, None, 3], "none": [], "no": None, 'k"[': [[1], []], "annotations": [{"id": str(i)} for i in range(40)]}
+    for text in (json.dumps(doc), json.dumps(doc, indent=1, ensure_ascii=False)):
+        for size in (1, 2, 3, 7, 50, 10_000):
+            got = {}
+            for name, part in archives.array_parts(io.BytesIO(text.encode()), size):
+                assert len(part.encode()) <= 2 * size + 120  # one element more than what is read at once
+                got.setdefault(name, []).extend(json.loads(part))
+            assert got == {k: v for k, v in doc.items() if isinstance(v, list) and v}
+    for bad in ('{"a": [1,2', '{"a": [1,]}', '{"a": [,1]}', '{"a": [1}', '{"a" [1]}', '{"a": [1]} {}', "[[1]]", '{"a": [1], "a": [2]}', ""):
+        for size in (1, 4, 99):
+            with pytest.raises(ValueError):
+                for _, part in archives.array_parts(io.BytesIO(bad.encode()), size):
+                    json.loads(part)
+
+
+def test_coco_documents_of_several_tasks(spark, tmp_path):
+    """No task holds a document: it is written from several and read as parts."""
+    few = spark.range(5000, numPartitions=6).where("id % 5000 >= 900").select(F.col("id").cast("string"), F.concat(F.lit('a"],{\\'), "id").alias("file_name"), F.lit(6).alias("width"), F.lit(6).alias("height"))
+    path = files.document(spark, {"images": few, "annotations": spark.createDataFrame([], "id string"), "categories": spark.range(2).select("id", F.lit("é").alias("name"))})
+    images, annotations, categories = archives.coco(spark, path)
+    assert images.exceptAll(few).isEmpty() and images.count() == 4100 and annotations.isEmpty() and categories.count() == 2
+    with gzip.open(path.removeprefix("file://")) as f:
+        assert len(json.load(f)["images"]) == 4100
+    bad = put(tmp_path, "bad.json", '{"images": [{"id": "1", "width": "wide"}]}')
+    with pytest.raises(Exception, match="(?i)malformed|cannot"):
+        archives.coco(spark, bad)[0].collect()
+
+
 def test_archives(spark, tmp_path, rows):
     path = str(tmp_path / "z.zip")
     with zipfile.ZipFile(path, "w") as z:
