@@ -137,6 +137,21 @@ def test_coco_documents_of_several_tasks(spark, tmp_path):
         archives.coco(spark, bad)[0].collect()
 
 
+def test_coco_crops_collect_no_array(spark, tmp_path):
+    """The document of the plans is made and planned without a list of all rows in one task."""
+    spark.range(300).selectExpr("id AS c_custkey", "'c' || id AS c_name").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(4000, numPartitions=5).selectExpr("id AS o_orderkey", "id % 300 AS o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(25).selectExpr("id AS n_nationkey", "'N' || id AS n_name").write.parquet(f"{tmp_path}/nation.parquet")
+    seen, agg = [], type(spark.range(1)).agg
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(type(spark.range(1)), "agg", lambda self, *c: (seen.extend(map(str, c)), agg(self, *c))[1])
+        got = files.coco_crops(spark, str(tmp_path)).collect()
+    assert not [c for c in seen if "collect_list" in c]
+    x, y = (lambda k: k % 360 - 20), (lambda k: k % 230 - 10)
+    want = [k for k in range(4000) if k % 25 not in (3, 4) and x(k) < 320 and y(k) < 200 + k % 300 % 40]
+    assert sorted(int(r.id) for r in got) == want
+
+
 def test_archives(spark, tmp_path, rows):
     path = str(tmp_path / "z.zip")
     with zipfile.ZipFile(path, "w") as z:
