@@ -7,6 +7,7 @@ import re
 import stat
 import zipfile
 from collections.abc import Iterator
+from itertools import islice
 from pathlib import PurePosixPath
 from typing import BinaryIO
 
@@ -24,7 +25,7 @@ for _c, _v in ((b"[", 1), (b"{", 1), (b"]", -1), (b"}", -1), (b",", 2)):
     MARKS[_c[0]] = _v
 
 
-def array_parts(stream: BinaryIO, size: int = 1 << 20) -> Iterator[tuple[str, str]]:
+def array_parts(stream: BinaryIO, size: int = 1 << 16) -> Iterator[tuple[str, str]]:
     """(name, JSON array): the arrays of a JSON object, each cut between elements into arrays of about size bytes. The
     stream is read once, and no more of it is held than a part. Elements are only cut apart, what lies around them has
     to be one JSON object without repeated keys."""
@@ -96,7 +97,9 @@ def array_parts(stream: BinaryIO, size: int = 1 << 20) -> Iterator[tuple[str, st
 def coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """SRC10: (images, annotations, categories) of COCO documents, one table an array. A document is cut between the
     elements of its arrays as a stream, in one task and bounded memory, where it lies (compressed ones by their suffix,
-    and any file system that Arrow knows); its parts are written to the shared folder and parsed in parallel."""
+    and any file system that Arrow knows); its parts are written to the shared folder and parsed in parallel. They are
+    lines there, each the array's name and a part: a task holds one at a time, where a columnar file holds pages and
+    batches of them, in the heap and beside it. What ends a line can't be part of a JSON text; if it is, parsing fails."""
     from tarsus.runtime import materialize, ship
 
     def run(batches):
@@ -108,15 +111,16 @@ def coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFram
             for name in batch["path"]:
                 files, at = fs.FileSystem.from_uri(name)
                 with files.open_input_stream(at, compression="detect") as stream:
-                    for array, text in array_parts(stream):
-                        if array in COCO:
-                            n += 1
-                            yield pd.DataFrame({"array": [array], "part": [n], "text": [text]})
+                    lines = (f"{array} {text}" for array, text in array_parts(stream) if array in COCO)
+                    while some := list(islice(lines, 8)):
+                        yield pd.DataFrame({"part": range(n, n + len(some)), "value": some})
+                        n += len(some)
 
     ship(spark)
     found = spark.read.format("binaryFile").load(path).select("path")
-    parts = materialize(found.mapInPandas(run, "array string, part bigint, text string").repartition("part"))
-    return tuple(parts.where(F.col("array") == c).select(F.explode(F.from_json("text", schema, {"mode": "FAILFAST"})).alias("_x")).select("_x.*") for c, schema in COCO.items())
+    parts = materialize(found.mapInPandas(run, "part bigint, value string").repartition("part").select("value"), "text", compression="snappy", lineSep="\x1e")
+    text = lambda c: F.substring("value", len(c) + 2, (1 << 31) - 1)
+    return tuple(parts.where(F.col("value").startswith(f"{c} ")).select(F.explode(F.from_json(text(c), schema, {"mode": "FAILFAST"})).alias("_x")).select("_x.*") for c, schema in COCO.items())
 
 
 def coco_plan(images: DataFrame, annotations: DataFrame, categories: DataFrame, generic: tuple[str, ...] = ("empty", "bird")) -> DataFrame:

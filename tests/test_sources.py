@@ -152,6 +152,22 @@ def test_coco_crops_collect_no_array(spark, tmp_path):
     assert sorted(int(r.id) for r in got) == want
 
 
+def test_coco_parts_are_small_and_read_one_by_one(spark, tmp_path):
+    """What a task holds of a document doesn't follow the document: parts are small, and none are read or written in
+    pages or batches of parts."""
+    images = [{"id": str(i), "file_name": f"{i}\u001e\né".rjust(90, "x"), "width": 6, "height": i} for i in range(20_000)]
+    text = json.dumps({"images": images, "other": [1] * 9, "annotations": [{"id": "a"}], "categories": []})
+    parts = [part for _, part in archives.array_parts(io.BytesIO(text.encode()))]
+    assert len(text) > 2_000_000 and max(map(len, parts)) < 200_000
+    tables = archives.coco(spark, put(tmp_path, "c.json", text))
+    assert [t.count() for t in tables] == [20_000, 1, 0]
+    assert sorted((r.height, r.id, r.file_name) for r in tables[0].collect()) == [(i["height"], i["id"], i["file_name"]) for i in images]
+    assert not any("Batched: true" in t._jdf.queryExecution().toString() for t in tables)
+    for bad in ('{"images": [{"id": "1\x1e2"}]}', '{"images": [{"id": "1"}\x1e, {"id": "2"}]}', '{"images": [{"id": "1"}, {"id": "2"}\x1e]}'):
+        with pytest.raises(Exception, match="(?i)malformed|cannot"):
+            archives.coco(spark, put(tmp_path, "bad.json", bad))[0].collect()
+
+
 def test_archives(spark, tmp_path, rows):
     path = str(tmp_path / "z.zip")
     with zipfile.ZipFile(path, "w") as z:
